@@ -5,8 +5,98 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.llm import pii
-from emberscope.llm.common import table
+from emberscope.llm import decontaminate, mixing, pii, sharding, url_filter
+from emberscope.llm.common import UPPER, table
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of nearly equal bytes, by the k-d tree."""
+    out = sharding.kd_shards(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and benchmark items of every document, and whether it is contaminated."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_words, n_hit = F.col("n_words").cast("long"), F.size("hit_at").cast("long")
+    return found.select(
+        "doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(n_hit, n_words).alias("contaminated"),
+    )
+
+
+OP2_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {OP2_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 13) AS n FROM (SELECT item_id, {OP2_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+win AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g))),
+hit AS (SELECT doc_id, i, n, item_id FROM win JOIN g USING (n, gram)),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP3_SQL = r"""
+WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY 1),
+k AS (SELECT d.doc_id, source, md5(coalesce(text, '')) AS digest,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w
+  FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
+e AS (SELECT *, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 13) AS BIGINT) + 1)::DOUBLE / 4503599627370496.0::DOUBLE) / w AS key FROM k),
+s AS (SELECT source, sum(size)::DOUBLE AS s FROM k GROUP BY 1),
+r AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
+l AS (SELECT *, (sum(s) OVER () - coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY 3 * s / w, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, s, least(3 * s, coalesce(min(CASE WHEN level <= 3 * s / w THEN level END) OVER () * w, 3 * s)) AS target FROM l),
+c AS (SELECT e.*, s, target, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS epochs,
+    coalesce(sum(size) OVER (PARTITION BY e.source ORDER BY key, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target,
+  CAST(size * (epochs + CASE WHEN target - epochs * s > 0 AND ahead + size * 0.5::DOUBLE <= target - epochs * s THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
+"""
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p),
+h AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
+    count(rule)::DOUBLE AS n, count(*) FILTER (rule IN ('net/', 'example.com/de/'))::DOUBLE AS bad FROM r GROUP BY 1),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
+s2 AS (SELECT suffix, (bad + 20.0::DOUBLE * (sum(bad) OVER () + 1) / (sum(n) OVER () + 2)) / (n + 20.0::DOUBLE) AS rate FROM s),
+d2 AS (SELECT domain, (d.bad + 20.0::DOUBLE * rate) / (d.n + 20.0::DOUBLE) AS rate FROM d JOIN s2 USING (suffix)),
+b AS (SELECT host, bad + 20.0::DOUBLE * rate AS a, n - bad + 20.0::DOUBLE * (1 - rate) AS b FROM h JOIN d2 USING (domain)),
+v AS (SELECT host, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM b)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM r JOIN v USING (host)
+"""
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +116,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
+    "op3_mixing": op3_mixing,
+    "op5_url_filter": op5_url_filter,
     "op9_pii": op9_pii,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op3_mixing": OP3_SQL,
+    "op5_url_filter": OP5_SQL,
+}
