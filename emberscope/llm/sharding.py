@@ -1,7 +1,7 @@
 """Shards of nearly equal bytes by a k-d tree over document metadata.
 
-Rows become units: equal texts are one unit, unless the group is so large or so frequent that
-keeping it together would unbalance shards, in which case each of its rows is a unit.  A unit has a
+Rows become units: equal texts are one unit, unless the group holds over half a shard's bytes, in
+which case each of its rows is a unit (rows that repeat, id included, stay one).  A unit has a
 coordinate in every metadata dimension.  The tree splits a node along the dimension in which its
 units spread widest, at the weighted quantile that gives each side its share of the leaves
 (20 : 20, ... 2 : 3), until every leaf is one shard of the target bytes.
@@ -10,7 +10,11 @@ Quantiles are exact and distributed: a coordinate is a 48-bit integer, ``GRID``
 dimension and the rest a hash of the unit, so ties have an order.  All nodes of a level are
 searched at once by histograms of ``FAN`` bins, each step narrowing every node's interval by that
 factor; what reaches the driver is at most shards * FAN sums, whatever the input.  The tree itself has
-shards - 1 cuts and becomes one CASE expression, so rows find their shard without a join.
+shards - 1 cuts and becomes one CASE expression.
+
+A unit of over ``WHOLE`` of a shard would make a cut miss its quantile.  There are at most
+shards / WHOLE such units in any input; they are dealt largest first to the emptiest shard, and
+the tree's quantiles leave room for them.
 
 Null texts are a group of equal texts of size 0 (plus the row's own bytes).  Null metadata counts as 0
 or the empty string.  Rows that repeat are separate rows of one group.  With fewer units than shards
@@ -19,6 +23,7 @@ some shards stay empty.  Shards and slots depend on the rows alone, not on their
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +33,10 @@ from pyspark.sql import functions as F
 from emberscope.llm.common import checkpointed
 
 ROW_BYTES, GRID, TIES, FAN = 16, 20, 28, 4096
-#: A group of equal texts stays one unit up to this part of a shard's bytes and of all rows over shards.
+#: Units over this part of a shard's bytes are dealt out before the tree grows.
 WHOLE = 0.02
+#: Groups that hold more than this part of a shard's bytes are taken apart.
+APART = 0.5
 #: Rows that number their slots together.
 RUN = 50_000
 
@@ -73,9 +80,25 @@ def placed(nodes: list[Node], value) -> Column:
     return at(nodes[0])
 
 
-def grow(units: DataFrame, dims: int, shards: int) -> Node:
-    """The tree over ``units`` (c0, c1, ..., bytes), level by level."""
-    root = Node(0, shards)
+def dealt(sizes: list[tuple[str, int]], shards: int, total: int) -> tuple[dict[str, int], list[float]]:
+    """The shard of each large unit, and the bytes that every shard has left for the tree."""
+    loads, place = [(0, i) for i in range(shards)], {}
+    for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        load, i = heapq.heappop(loads)
+        place[name] = i
+        heapq.heappush(loads, (load + n, i))
+    by = {i: load for load, i in loads}
+    rest, open_ = total - sum(by.values()), sorted(by.values())
+    for k in range(shards, 0, -1):  # shards above the level get nothing more
+        level = (rest + sum(open_[:k])) / k
+        if level >= open_[k - 1]:
+            break
+    return place, [max(0.0, level - by[i]) for i in range(shards)]
+
+
+def grow(units: DataFrame, dims: int, room: list[float]) -> Node:
+    """The tree over ``units`` (c0, c1, ..., bytes), level by level; ``room``: the bytes for each leaf."""
+    root = Node(0, len(room))
     level = [root]
     while level := [n for n in level if n.n > 1]:
         here = placed([root], lambda n: F.lit(n.first)).alias("node")
@@ -85,7 +108,8 @@ def grow(units: DataFrame, dims: int, shards: int) -> Node:
             if r := stats.get(n.first):
                 n.dim = max(range(dims), key=lambda d: r[f"hi{d}"] - r[f"lo{d}"])
                 n.lo, n.hi = r[f"lo{n.dim}"], r[f"hi{n.dim}"] + 1
-                n.want, n.last = r.bytes * (n.n // 2) / n.n, r.bytes
+                all_room, half = sum(room[n.first : n.first + n.n]), sum(room[n.first : n.first + n.n // 2])
+                n.want, n.last = r.bytes * (half / all_room if all_room else 0.5), r.bytes
         asked = [n for n in level if n.dim >= 0]
         while open_ := [n for n in asked if n.hi - n.lo > 1]:
             by = {n.first: (n.dim, n.lo, n.hi, -(-(n.hi - n.lo) // FAN)) for n in open_}
@@ -133,7 +157,7 @@ def kd_shards(docs: DataFrame, shards: int = 40, text: str = "text", keep: tuple
         F.xxhash64(docs["doc_id"], docs[text]).alias("_row"),
     )
     rows = checkpointed(rows)
-    t = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("most"), *[f(c).alias(f"{k}{c}") for c in ("_id", "_source", "_lang") for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    t = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *[f(c).alias(f"{k}{c}") for c in ("_id", "_source", "_lang") for k, f in (("lo", F.min), ("hi", F.max))]).first()
     if not t.n:
         empty = F.lit(None)
         return rows.select(*keep, "size", "text_crc32", empty.cast("int").alias("shard"), empty.cast("long").alias("slot"))
@@ -143,23 +167,27 @@ def kd_shards(docs: DataFrame, shards: int = 40, text: str = "text", keep: tuple
         values = [(log, 4.0, 40.0), *[(F.col(c), t[f"lo{c}"], t[f"hi{c}"]) for c in ("_id", "_source", "_lang")]]
         return [coordinate(v, lo, hi, unit).alias(f"c{i}") for i, (v, lo, hi) in enumerate(values)]
 
-    groups = rows.groupBy("_text").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("size").alias("size"), F.min(F.struct("_id", "_source", "_lang")).alias("m"))
-    groups = groups.select("_text", "n", "bytes", "size", "m.*")
-    over = (F.col("bytes") > max(WHOLE * t.bytes / shards, t.most)) | (F.col("n") > max(WHOLE * t.n / shards, 1))
-    # At most shards / WHOLE groups can be over either limit, however many rows there are.
-    hot = checkpointed(groups.filter(over & (F.col("n") > 1)).select("_text"))
-    single = rows.join(F.broadcast(hot), "_text").select("size", F.col("size").alias("bytes"), "_id", "_source", "_lang", "_row")
-    whole = groups.join(F.broadcast(hot), "_text", "left_anti")
-    dims = 4
-    units = whole.select("bytes", *coordinates(F.xxhash64("_text"))).unionAll(single.select("bytes", *coordinates(F.col("_row"))))
-    units = checkpointed(units)
-    root = grow(units, dims, shards)
-    shard = placed([root], lambda n: F.lit(n.first))
-    of_group = whole.select(F.col("_text").alias("_g"), *coordinates(F.xxhash64("_text"))).select("_g", shard.alias("shard"))
-    alone = rows.join(F.broadcast(hot), "_text").withColumns(dict(zip([f"c{i}" for i in range(dims)], coordinates(F.col("_row"))))).withColumn("shard", shard)
-    grouped = rows.join(F.broadcast(hot), "_text", "left_anti").join(of_group, F.col("_text") == F.col("_g"))
+    target = t.bytes / shards
+    # At most shards / APART groups are over this limit.
+    apart = rows.groupBy("_text").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > APART * target) & (F.col("n") > 1))
+    apart = sorted(r._text for r in apart.select("_text").collect())
+    unit = F.when(F.col("_text").isin(apart), F.concat_ws(":", "_text", "_row")).otherwise(F.col("_text"))
+    rows = rows.withColumn("_unit", unit)
+    units = rows.groupBy("_unit").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("size").alias("size"), F.min(F.struct("_id", "_source", "_lang")).alias("m"))
+    units = units.select("_unit", "n", "bytes", "size", "m.*")
+    # At most shards / WHOLE units are over the first limit and as many over the second.
+    big = units.filter((F.col("bytes") > WHOLE * target) | (F.col("n") > max(WHOLE * t.n / shards, 100))).select("_unit", "bytes").collect()
+    place, room = dealt([(r._unit, r.bytes) for r in big], shards, t.bytes)
+    known = F.broadcast(docs.sparkSession.createDataFrame(sorted(place.items()), "_big string, _place int"))
+    small = units.join(known, F.col("_unit") == F.col("_big"), "left_anti")
+    small = checkpointed(small.select(F.col("_unit").alias("_small"), "bytes", *coordinates(F.xxhash64("_unit"))))
+    root = grow(small, 4, room)
+    leaves = small.select("_small", placed([root], lambda n: F.lit(n.first)).alias("shard"))
+    rows = rows.join(known, F.col("_unit") == F.col("_big"), "left")
+    grouped = rows.filter("_big is null").join(leaves, F.col("_unit") == F.col("_small"))
+    dealt_out = rows.filter("_big is not null").withColumn("shard", F.col("_place"))
     names = [*keep, "size", "text_crc32", "_row", "shard"]
-    return slotted(grouped.select(*names).unionAll(alone.select(*names)), t.n, shards).select(*keep, "size", "text_crc32", "shard", "slot")
+    return slotted(grouped.select(*names).unionAll(dealt_out.select(*names)), t.n, shards).select(*keep, "size", "text_crc32", "shard", "slot")
 
 
 def slotted(rows: DataFrame, n: int, shards: int) -> DataFrame:
