@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontaminate, mixing, pii, sharding, topk, url_filter
+from emberscope.llm import decontaminate, mixing, pii, sharding, token_count, topk, url_filter
 from emberscope.llm.common import UPPER, table
 
 
@@ -99,6 +99,14 @@ FROM r JOIN v USING (host)
 """
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document under the public word-level tokenizer."""
+    import public_tokenizers
+
+    out = token_count.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_count.LIMIT).alias("over_limit"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts, digest of the base spans, all spans."""
     docs = pii.detect(table(spark, sf_dir, "documents"), out="found")
@@ -134,6 +142,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
+    "op7_token_count": op7_token_count,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
