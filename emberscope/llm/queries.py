@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontaminate, mixing, pii, sharding, token_count, topk, url_filter
+from emberscope.llm import decontaminate, language_id, mixing, pii, sharding, token_count, topk, url_filter
 from emberscope.llm.common import UPPER, table
 
 
@@ -107,6 +107,11 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_count.LIMIT).alias("over_limit"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and its probability for every document."""
+    return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts, digest of the base spans, all spans."""
     docs = pii.detect(table(spark, sf_dir, "documents"), out="found")
@@ -143,6 +148,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
     "op7_token_count": op7_token_count,
+    "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
