@@ -26,7 +26,7 @@ SAMPLE, BITS, GRAMS, EPOCHS = 1500, 15, (1, 2, 3), 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
 #: Documents under this calibrated probability are rejected by ``accepted``.
-LEAST = 0.5
+LEAST = 0.3
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontaminate, language_id, mixing, pii, sharding, token_count, topk, url_filter
+from emberscope.llm import decontaminate, language_id, mixing, pii, secret_scan, sharding, token_count, topk, url_filter
 from emberscope.llm.common import UPPER, table
 
 
@@ -71,6 +71,22 @@ FROM c
 """
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, digest of the base spans, all spans."""
+    found = secret_scan.find(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] < secret_scan.BASE)
+
+    def count(kind: int):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{kind}") for i, kind in enumerate(secret_scan.KINDS[: secret_scan.BASE])],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("found")).alias("spans"),
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -146,6 +162,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op7_token_count": op7_token_count,
     "op8_language_id": op8_language_id,
