@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontaminate, language_id, mixing, pii, secret_scan, sharding, token_count, topk, url_filter
+from emberscope.llm import decontaminate, jaccard_join, language_id, mixing, pii, secret_scan, sharding, token_count, topk, url_filter
 from emberscope.llm.common import UPPER, table
 
 
@@ -115,6 +115,23 @@ FROM r JOIN v USING (host)
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles and component of every document."""
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP6_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 90 * (na.n + nb.n - shared)),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, m) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)
+"""
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document under the public word-level tokenizer."""
     import public_tokenizers
@@ -164,6 +181,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_count": op7_token_count,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
@@ -174,5 +192,6 @@ SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op5_url_filter": OP5_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op10_topk": OP10_SQL,
 }
