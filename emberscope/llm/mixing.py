@@ -71,7 +71,8 @@ def targets(sums: DataFrame) -> DataFrame:
     t = t.withColumn("before", F.coalesce(F.sum(MOST * F.col("s")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
     t = t.withColumn("open", F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing)))
     t = t.withColumn("level", (F.col("total") - F.col("before")) / F.col("open"))
-    t = t.withColumn("share", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.partitionBy()))
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "sk", "level"))).over(W.partitionBy())
+    t = t.withColumn("share", first["level"])
     return t.select("sk", F.col("s").cast("long").alias("source_size"), F.least(MOST * F.col("s"), F.coalesce(F.col("share") * F.col("w"), MOST * F.col("s"))).alias("target"))
 
 

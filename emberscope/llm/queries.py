@@ -61,7 +61,8 @@ s AS (SELECT source, sum(size)::DOUBLE AS s FROM k GROUP BY 1),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
 l AS (SELECT *, (sum(s) OVER () - coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY 3 * s / w, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-t AS (SELECT source, s, least(3 * s, coalesce(min(CASE WHEN level <= 3 * s / w THEN level END) OVER () * w, 3 * s)) AS target FROM l),
+t AS (SELECT source, s, least(3 * s, coalesce(first_value(CASE WHEN level <= 3 * s / w THEN level END IGNORE NULLS)
+    OVER (ORDER BY 3 * s / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w, 3 * s)) AS target FROM l),
 c AS (SELECT e.*, s, target, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS epochs,
     coalesce(sum(size) OVER (PARTITION BY e.source ORDER BY key, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source)
