@@ -1,7 +1,7 @@
-"""From raw documents to shards of a training mix: each stage is one operator of emberscope.llm.
+"""From raw documents to shards of a training mix: each stage applies one operator of emberscope.llm.
 
-Every stage works on all that its predecessor kept; ``run`` writes a stage's rows as Parquet to
-the shared checkpoint folder and reads them again for the next one.
+A stage works on all that its predecessor kept.  All but the last return the columns of documents;
+the last returns where each row goes: its id, source, language, bytes, shard and slot.
 """
 
 from __future__ import annotations
@@ -10,12 +10,52 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from emberscope.llm import decontaminate, jaccard_join, language_id, mixing, sharding
+from emberscope.llm.common import shared_folder, table
 
-#: A trained classifier, exponential sampling keys and set joins over them: not in SQL.
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a letter, or whose language the classifier can't tell, go."""
+    return language_id.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked documents stays, that of the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark text go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it: whole epochs, then the sampled part."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of the mix."""
+    return sharding.kd_shards(docs, 40, keep=("doc_id", "source", "lang", "n_chars"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+    ("sharding", shards),
+]
+
+#: A trained classifier comes first: its decisions have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written to the shared folder as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -13,15 +13,17 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; a folder of our own is set only
-    where that is unset (tests in local mode).
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; our own only where that is unset, as in tests."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
