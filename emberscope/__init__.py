@@ -1 +1,5 @@
-"""CPU-profile analytics on Spark."""
+"""CPU-profile analytics on Spark: browse, aggregate, compare and drill into V8 call-tree profiles.
+
+``emberscope.plans.engine.Engine`` answers questions about stored profiles; ``emberscope.operators``
+holds the DataFrame operators it is made of.
+"""
