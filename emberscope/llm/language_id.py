@@ -132,8 +132,9 @@ def sample(docs: DataFrame, label: str = "lang", text: str = "text", size: int =
     """
     rows = docs.select(docs[text].alias("text"), docs[label].alias("lang")).filter("text is not null and lang is not null")
     rows = rows.withColumn("h", F.abs(F.xxhash64("text", "lang") % (1 << 30)) / float(1 << 30))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    part = counts.select(F.col("lang").alias("_lang"), ((1.2 * size + 30) / F.col("n")).alias("part"))
+    # One row for each language, of which the model holds 2**BITS weights anyway.
+    counts = [(r.lang, (1.2 * size + 30) / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    part = F.broadcast(docs.sparkSession.createDataFrame(counts, "_lang string, part double"))
     few = rows.join(part, F.col("lang") == F.col("_lang")).filter("h <= part").select("h", "lang", "text")
     out, taken = [], {}
     for r in sorted(few.toArrow().to_pylist(), key=lambda r: (r["h"], r["lang"], r["text"])):
