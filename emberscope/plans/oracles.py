@@ -185,5 +185,5 @@ UNION ALL SELECT 'callees', f.key, f.display, f.package, m, 0, 0, 0, m, 0 FROM (
     "context_breakdown": context_breakdown(), "context_breakdown_filtered": context_breakdown("category IN ('user', 'node_modules')", True),
     "asof_label": """WITH p AS (SELECT user_id, ts, max(event_id) AS context FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
 SELECT e.event_id, p.context FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts""",
-    "sample_clock": f"WITH {EVENTS} SELECT profile_id, CAST(i AS INTEGER) AS i, CAST(1000 + sum(d) OVER (PARTITION BY profile_id ORDER BY i) AS BIGINT) AS at FROM s",
+    "sample_clock": f"WITH {EVENTS} SELECT profile_id, CAST(i AS INTEGER) AS i, CAST(1000 + sum(d) OVER (PARTITION BY profile_id ORDER BY i) AS BIGINT) AS clock FROM s",
 }

@@ -206,7 +206,7 @@ def asof_label(spark, d):
 
 def sample_clock(spark, d):
     s = blk.samples(t.event_profiles(spark, d)).withColumn("start_us", F.lit(1000).cast("bigint"))
-    return timeline.clocked(s).select("profile_id", "i", "at")
+    return timeline.clocked(s).select("profile_id", "i", F.col("at").alias("clock"))
 
 
 QUERIES = {
