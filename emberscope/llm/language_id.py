@@ -124,24 +124,38 @@ def calibrated(logits: list[tuple[np.ndarray, int]]) -> float:
     return float(np.exp((a + b) / 2)) if logits else 1.0
 
 
-def sample(docs: DataFrame, label: str = "lang", text: str = "text", size: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``size`` (text, language) rows for each language, the same ones on each run.
+def sample(docs: DataFrame, label: str = "lang", text: str = "text", size: int = SAMPLE) -> DataFrame:
+    """(h, lang, text) of a few more than ``size`` rows for each language, the same ones on each run.
 
-    Languages' counts set the part of the hash range from which rows come, so only a few more than
-    those needed reach the driver.
+    Languages' counts set the part of the hash range from which rows come.
     """
     rows = docs.select(docs[text].alias("text"), docs[label].alias("lang")).filter("text is not null and lang is not null")
     rows = rows.withColumn("h", F.abs(F.xxhash64("text", "lang") % (1 << 30)) / float(1 << 30))
     # One row for each language, of which the model holds 2**BITS weights anyway.
     counts = [(r.lang, (1.2 * size + 30) / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     part = F.broadcast(docs.sparkSession.createDataFrame(counts, "_lang string, part double"))
-    few = rows.join(part, F.col("lang") == F.col("_lang")).filter("h <= part").select("h", "lang", "text")
-    out, taken = [], {}
-    for r in sorted(few.toArrow().to_pylist(), key=lambda r: (r["h"], r["lang"], r["text"])):
-        if taken.setdefault(r["lang"], 0) < size:
-            taken[r["lang"]] += 1
-            out.append((r["text"], r["lang"]))
-    return out
+    return rows.join(part, F.col("lang") == F.col("_lang")).filter("h <= part").select("h", "lang", "text")
+
+
+def trained(docs: DataFrame, label: str = "lang", text: str = "text", size: int = SAMPLE) -> Model:
+    """A model of ``docs``; one task holds the bounded sample, the driver only gets the weights."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows, taken = [], {}
+        for r in sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["h"], r["lang"], r["text"])):
+            if taken.setdefault(r["lang"], 0) < size:
+                taken[r["lang"]] += 1
+                rows.append((r["text"], r["lang"]))
+        m = fit(rows)
+        yield pa.RecordBatch.from_pydict({"languages": [m.languages], "idf": [m.idf.tobytes()], "weights": [m.weights.tobytes()], "temperature": [m.temperature]})
+
+    one = sample(docs, label, text, size).repartition(1).mapInArrow(run, "languages array<string>, idf binary, weights binary, temperature double").first()
+    if one is None:  # Spark drops the task where it knows that there are no rows
+        return fit([])
+    weights = np.frombuffer(bytes(one.weights)).reshape(len(one.languages), 1 << BITS)
+    return Model(list(one.languages), np.frombuffer(bytes(one.idf)), weights, one.temperature)
 
 
 def predictor(model):
@@ -175,14 +189,14 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, by a model of those not held out."""
     few = docs.select("doc_id", "text", "lang")
-    model = fit(sample(few.filter(~held_out(few["doc_id"]))))
+    model = trained(few.filter(~held_out(few["doc_id"])))
     return predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` whose language is known with probability ``least`` or more, by a model of the rows not held out."""
     few = docs.select("doc_id", "text", "lang")
-    model = fit(sample(few.filter(~held_out(few["doc_id"]))))
+    model = trained(few.filter(~held_out(few["doc_id"])))
     names = docs.columns
     rows = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs["text"].alias("text"))
     out = predict(rows, model, keep=tuple(f"_c{i}" for i in range(len(names))))
