@@ -27,6 +27,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def merge(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: both sides grow with the corpus, and a broadcast passes through the driver."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

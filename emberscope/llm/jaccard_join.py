@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed
+from emberscope.llm.common import checkpointed, merge
 from emberscope.llm.components import components
 
 #: Similar: 100 * intersection >= PERCENT * union.
@@ -101,21 +101,37 @@ def counted(words: int):
 
 
 def added(table):
-    """The sum of one chunk's tables."""
+    """The sum of one chunk's tables, and the sum of its counts."""
     import pyarrow as pa
 
     total = sum(np.frombuffer(c.as_py(), dtype="<u2").astype(np.uint32) for c in table.column("counts"))
-    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<u4").tobytes()], pa.binary())})
+    chunk = table.column("chunk")[0].as_py()
+    return pa.table({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([total.astype("<u4").tobytes()], pa.binary()), "total": pa.array([int(total.sum())], pa.int64())})
 
 
-def frequent(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """Flags of the hash classes that hold a frequent shingle: 2**COUNT_BITS of them for any input."""
-    sums = docs.select(docs[text].alias("t")).mapInArrow(counted(words), "chunk int, counts binary").groupBy("chunk").applyInArrow(added, "chunk int, counts binary")
-    counts = np.zeros((CHUNKS, (1 << COUNT_BITS) // CHUNKS), dtype=np.uint32)
-    for r in sums.toLocalIterator():
-        counts[r.chunk] = np.frombuffer(r.counts, dtype="<u4")
-    mean = counts.mean()
-    return (counts > mean + 8 * np.sqrt(mean) + 16).ravel()
+def flagged(mean: float):
+    """Over Arrow batches of (chunk, counts): (chunk, flags), a bit for each class that is over the mean by far."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            flags = [np.packbits(np.frombuffer(c.as_buffer(), dtype="<u4") > mean + 8 * np.sqrt(mean) + 16).tobytes() for c in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(flags, pa.binary())], ["chunk", "flags"])
+
+    return run
+
+
+def frequent(docs: DataFrame, text: str, words: int) -> bytes:
+    """Bits of the hash classes that hold a frequent shingle: 2**COUNT_BITS of them for any input."""
+    sums = docs.select(docs[text].alias("t")).mapInArrow(counted(words), "chunk int, counts binary").groupBy("chunk").applyInArrow(added, "chunk int, counts binary, total bigint")
+    sums = checkpointed(sums)
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << COUNT_BITS)
+    each = (1 << COUNT_BITS) // CHUNKS // 8
+    bits = bytearray(each * CHUNKS)
+    for chunk, flags in zip(*sums.select("chunk", "counts").mapInArrow(flagged(mean), "chunk int, flags binary").toArrow().to_pydict().values()):
+        bits[chunk * each : (chunk + 1) * each] = flags
+    return bytes(bits)
 
 
 def signed(words: int, percent: int, hot):
@@ -125,7 +141,7 @@ def signed(words: int, percent: int, hot):
         import pyarrow as pa
         import xxhash
 
-        hashes, flags = Hashes(), hot.value
+        hashes, flags = Hashes(), np.unpackbits(np.frombuffer(hot.value, dtype=np.uint8)).astype(bool)
         for batch in batches:
             sizes, h1, h2, prefixes, sketches = [], [], [], [], []
             for text in batch.column(batch.num_columns - 1):
@@ -333,21 +349,21 @@ class Join:
         digest = ["n", "h1", "h2"]
         sets = self.rows.filter("n > 0").groupBy(*digest).agg(F.min("_row").alias("node"), F.min("_id").alias("least"))
         sets = sets.select("node", "least", *[F.col(c).alias(f"s_{c}") for c in digest])
-        self.sets = checkpointed(sets.join(self.rows.select("_row", "_id", "prefix", "sketch"), F.col("node") == F.col("_row")).drop("_row"))
+        self.sets = checkpointed(sets.join(merge(self.rows.select("_row", "_id", "prefix", "sketch")), F.col("node") == F.col("_row")).drop("_row"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, d) for the pairs that the sketches allow, by their whole sets."""
         side = lambda s: self.sets.select(F.col("node").alias(f"node_{s}"), F.col("s_n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-        pairs = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+        pairs = pairs.join(merge(side("a")), F.col("a") == F.col("node_a")).join(merge(side("b")), F.col("b") == F.col("node_b"))
         pairs = checkpointed(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(possible(self.percent), "a long, b long, n_a int, n_b int"))
         active = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        active = self.sets.select("node", "_id", "s_h1", "s_h2").join(active, "node").withColumnRenamed("_id", "_of")
-        texts = self.docs.select("_id", "_text").join(active, F.col("_id").eqNullSafe(F.col("_of"))).select("node", "s_h1", "s_h2", "_text")
+        active = self.sets.select("node", "_id", "s_h1", "s_h2").join(merge(active), "node").withColumnRenamed("_id", "_of")
+        texts = self.docs.select("_id", "_text").join(merge(active), F.col("_id").eqNullSafe(F.col("_of"))).select("node", "s_h1", "s_h2", "_text")
         sets = checkpointed(texts.mapInArrow(sets_of(self.words), "node long, set binary").dropDuplicates(["node"]))
-        both = pairs.join(sets.select(F.col("node").alias("node_a"), F.col("set").alias("x")), F.col("a") == F.col("node_a"))
-        both = both.join(sets.select(F.col("node").alias("node_b"), F.col("set").alias("y")), F.col("b") == F.col("node_b"))
+        both = pairs.join(merge(sets.select(F.col("node").alias("node_a"), F.col("set").alias("x"))), F.col("a") == F.col("node_a"))
+        both = both.join(merge(sets.select(F.col("node").alias("node_b"), F.col("set").alias("y"))), F.col("b") == F.col("node_b"))
         sizes = both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, both long")
-        out = sizes.join(pairs, ["a", "b"])
+        out = sizes.join(merge(pairs), ["a", "b"])
         union = F.col("n_a") + F.col("n_b") - F.col("both")
         return checkpointed(out.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= self.percent * union).alias("linked")))
 
@@ -361,14 +377,14 @@ class Join:
         labels = components(links)
         pivots = found.filter("a = b").select(F.col("cell").alias("_cell"), F.col("a").alias("_pivot"))
         # Regions of over CELL documents: whatever of them isn't one component yet.
-        own = spread.join(pivots, F.col("key") == F.col("_cell")).join(labels, "node", "left")
+        own = spread.join(merge(pivots), F.col("key") == F.col("_cell")).join(merge(labels), "node", "left")
         own = own.withColumn("label", F.coalesce("label", "node"))
         known = first.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d")
-        own = own.join(known, (F.least("node", "_pivot") == F.col("_a")) & (F.greatest("node", "_pivot") == F.col("_b")), "left")
+        own = own.join(merge(known), (F.least("node", "_pivot") == F.col("_a")) & (F.greatest("node", "_pivot") == F.col("_b")), "left")
         own = own.select("key", "node", "n", "pos", "label", F.when(F.col("node") == F.col("_pivot"), 0.0).otherwise(F.coalesce("d", F.lit(float("nan")))).alias("d"))
         own = own.withColumns({"n": F.col("n").cast("long"), "pos": F.col("pos").cast("long")})
         left = own.repartition("key").sortWithinPartitions("key").mapInArrow(rest_of(self.percent), "a long, b long")
-        left = checkpointed(left.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
+        left = checkpointed(left.distinct().join(merge(first.select("a", "b")), ["a", "b"], "left_anti"))
         if left.isEmpty():
             return labels
         second = self.verified(left).filter("linked").select("a", "b")
@@ -377,12 +393,12 @@ class Join:
     def result(self) -> DataFrame:
         """``keep``, n_shingles, component_id (smallest id of the component) and stays (one row of each component)."""
         labels = self.labels().select(F.col("node").alias("_node"), "label")
-        sets = self.sets.select("node", "least", "s_n", "s_h1", "s_h2").join(labels, F.col("node") == F.col("_node"), "left")
+        sets = self.sets.select("node", "least", "s_n", "s_h1", "s_h2").join(merge(labels), F.col("node") == F.col("_node"), "left")
         sets = sets.withColumn("label", F.coalesce("label", "node"))
         ids = sets.groupBy(F.col("label").alias("_label")).agg(F.min("least").alias("component_id"))
-        sets = sets.join(ids, F.col("label") == F.col("_label")).select("s_n", "s_h1", "s_h2", "component_id", F.col("label"))
+        sets = sets.join(merge(ids), F.col("label") == F.col("_label")).select("s_n", "s_h1", "s_h2", "component_id", F.col("label"))
         rows = self.rows.drop("prefix", "sketch")
-        out = rows.join(sets, (F.col("n") == F.col("s_n")) & (F.col("h1") == F.col("s_h1")) & (F.col("h2") == F.col("s_h2")), "left")
+        out = rows.join(merge(sets), (F.col("n") == F.col("s_n")) & (F.col("h1") == F.col("s_h1")) & (F.col("h2") == F.col("s_h2")), "left")
         names = [F.col(f"_k{i}").alias(c) for i, c in enumerate(self.keep)]
         component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
         return out.select(*names, F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "_id", "_row", F.when(F.col("n") > 0, F.col("label")).alias("_label"))
@@ -405,6 +421,6 @@ def one_of_each(docs: DataFrame, text: str = "text", words: int = WORDS, percent
     first = F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_key").alias("key"))
     kept = found.filter("_label is not null").groupBy("_label").agg(F.min(first).alias("f")).select(F.col("f.key").alias("_kept"), F.lit(True).alias("_one"))
     bare = found.filter("_label is null").select(F.col("_key").alias("_kept"), F.lit(False).alias("_one")).distinct()
-    stays = keyed.join(kept.unionAll(bare), F.col("_key") == F.col("_kept"))
+    stays = keyed.join(merge(kept.unionAll(bare)), F.col("_key") == F.col("_kept"))
     one = stays.filter("_one").dropDuplicates(["_key"])
     return one.unionAll(stays.filter("not _one")).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
