@@ -99,14 +99,15 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     mix takes them together.
     """
     names = docs.columns
+    sk = F.coalesce(F.concat(F.lit("s"), docs["source"]), F.lit(""))
     digest = F.md5(F.coalesce(docs["text"], F.lit("")))
+    key = lambda doc_id, sk, digest: F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), sk, digest)
+    rows = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs["doc_id"].alias("_id"), sk.alias("_sk"), digest.alias("_digest"), key(docs["doc_id"], sk, digest).alias("_k"))
     taken = mix(docs, labels).groupBy("doc_id", "sk", "digest").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).filter("copies > 0")
-    taken = taken.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "sk", "digest").alias("_k"), F.col("doc_id").alias("_id"), F.col("sk").alias("_sk"), F.col("digest").alias("_digest"), "copies", "n")
-    sk = F.coalesce(F.concat(F.lit("s"), docs["source"]), F.lit(""))
-    keys = docs.select("*", sk.alias("_sk2"), digest.alias("_digest2"), F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), sk, digest).alias("_k2"))
-    hit = keys.join(taken, (F.col("_k2") == F.col("_k")) & F.col("_id").eqNullSafe(keys["doc_id"]) & (F.col("_sk2") == F.col("_sk")) & (F.col("_digest2") == F.col("_digest")))
+    taken = taken.withColumn("k", key(F.col("doc_id"), F.col("sk"), F.col("digest")))
+    hit = rows.join(taken, (F.col("_k") == F.col("k")) & F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sk") == F.col("sk")) & (F.col("_digest") == F.col("digest")))
     # n equal rows are taken `copies` times together: the first (copies mod n) of them once more.
     order = W.partitionBy("_k", "_id", "_sk", "_digest").orderBy(F.lit(1))
     share = F.when(F.col("n") == 1, F.col("copies")).otherwise(F.floor(F.col("copies") / F.col("n")) + (F.row_number().over(order) <= F.col("copies") % F.col("n")).cast("long"))
     hit = hit.withColumn("_times", share).filter("_times > 0")
-    return hit.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[hit[c] for c in names])
+    return hit.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

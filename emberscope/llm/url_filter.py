@@ -94,17 +94,18 @@ def judge(pages: DataFrame, url: str = "url", outcome: Column | None = None, rul
 
     ``outcome`` is a page's label: true for a bad page, null for none.  Without labels of its own
     a page that a rule decides is labelled by that rule.  Columns of ``pages`` with these names
-    are replaced.
+    are replaced; others may have any name.
     """
-    at = pages.withColumn("host", host_of(pages[url])).withColumn("path", path_of(pages[url]))
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "bound")]
+    at = pages.select(*[pages[c].alias(f"_c{i}") for i, c in enumerate(names)], pages[url].alias("_url"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), *([] if outcome is None else [outcome.alias("_bad")]))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
     at = at.withColumn("rule", name).withColumn("_verdict", verdict)
-    bad = (F.col("_verdict") == "block") if outcome is None else outcome
+    bad = (F.col("_verdict") == "block") if outcome is None else F.col("_bad")
     # The sums by host read only the URL column.
     hosts = at.groupBy("host").agg(F.count(bad).alias("n"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad"))
     bounds = reputation(hosts).select(F.col("host").alias("_host"), bound(F.col("alpha"), F.col("beta")).alias("bound"))
     bounds = bounds.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    at = at.withColumn("_salt", F.pmod(F.xxhash64(url, F.monotonically_increasing_id()), F.lit(SALT)).cast("int"))
+    at = at.withColumn("_salt", F.pmod(F.xxhash64("_url", F.monotonically_increasing_id()), F.lit(SALT)).cast("int"))
     out = at.join(bounds, (at.host == bounds._host) & (at._salt == bounds._part), "left")
     verdict = F.coalesce("_verdict", F.when(F.col("bound") > LIMIT, "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("_verdict", "_salt", "_host", "_part")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "host", "path", "rule", verdict.alias("verdict"), "bound")
