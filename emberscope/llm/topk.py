@@ -16,7 +16,8 @@ exact), otherwise with Python integers.
 A score beyond 64 bits is returned as null.  Vectors that are null, empty, or hold null or non-finite components take no part.  Ties go to the
 smaller id.  Rows with a null id take no part.  Vectors of different lengths are only compared
 with their like.  Rows that repeat an id are separate candidates, but none of them is a candidate
-for a query with that id.  An empty table gives an empty result.
+for a query with that id, and a query id that repeats is asked once, with the least of its vectors.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     done = []
     for b in range(blocks):
         # A hash deals the ids evenly: no block is much over BLOCK.
-        mine = rows.filter(F.col("q") & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", "v").orderBy("vec_id").collect()
+        mine = rows.filter(F.col("q") & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").collect()
         if not mine:
             continue
         ids = spark.sparkContext.broadcast(np.array([r.vec_id for r in mine], dtype=np.int64))
