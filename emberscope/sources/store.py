@@ -127,12 +127,16 @@ def sampled(members: DataFrame, n: int) -> DataFrame:
 
     Groups of at most ``n``, and all with n <= 0, are whole and keep the order of their names.
     """
+    totals = members.groupBy(F.col("group_id").alias("_g")).agg(F.count("*").alias("total"))
+    m = members
     own = W.partitionBy("group_id")
-    by_hash = F.row_number().over(own.orderBy(objects.member_hash(F.col("raw")), "raw"))
+    if n > 0:
+        # A limit by rank alone: every task drops all but its n least before anything is shuffled.
+        m = m.withColumn("_h", F.row_number().over(own.orderBy(objects.member_hash(F.col("raw")), "raw"))).filter(F.col("_h") <= n)
+    m = m.join(totals, F.col("group_id") == F.col("_g")).drop("_g")
     by_name = F.row_number().over(own.orderBy("raw"))
-    m = members.withColumn("total", F.count("*").over(own)).withColumn("_h", by_hash).withColumn("_n", by_name)
-    whole = F.lit(n <= 0) | (F.col("total") <= n)
-    return m.filter(whole | (F.col("_h") <= n)).withColumn("member_rank", F.when(whole, F.col("_n")).otherwise(F.col("_h"))).drop("_h", "_n")
+    rank = F.when(F.col("total") <= n, by_name).otherwise(F.col("_h")) if n > 0 else by_name
+    return m.withColumn("member_rank", rank).drop("_h")
 
 
 def newest(members: DataFrame) -> DataFrame:
