@@ -2,10 +2,10 @@
 
 Main path: SQL functions alone.  Words are runs of non-ASCII characters, digits and a-z after
 A-Z are lower-cased.  A gram is ``SIZE`` consecutive words of a benchmark item; an item of fewer
-words, but not none, is one gram.  The grams go to the executors in sets of at most ``SET_MAX``
-(hashes and texts, a few MB); with more grams the documents are scanned once for each set, so no
-broadcast grows with the benchmark.  A window whose hash is in the set is compared as text, so
-a hash collision is no hit.
+words, but not none, is one gram.  Up to ``SET_MAX`` grams go to the executors as hash sets (hashes
+and texts, a few MB) inside the scan: a window whose hash is in the set is compared as text, so a
+hash collision is no hit.  More grams than that are never broadcast: then the windows' MD5 digests
+are joined to those of the grams.
 
 Null and empty texts have no words and no hits; null or empty items have no grams.  Repeated rows
 each give their own result; repeated items count once.  Null item ids don't count as items.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from emberscope.llm.common import ascii_lower, checkpointed, first_only, let
 
-SIZE, SET_MAX = 13, 50_000
+SIZE, SET_MAX = 13, 100_000
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -38,16 +38,16 @@ def item_grams(benchmark: DataFrame, item: str = "item_id", text: str = "text",
     return w.select("item", "n", F.explode(F.transform(starts, lambda i: F.array_join(F.slice(w.w, i, w.n), " "))).alias("gram")).distinct()
 
 
-def sets_of(grams: DataFrame) -> list[list[tuple[int, str, int]]]:
-    """Distinct (n, gram, hash) in runs of at most SET_MAX; held are the benchmark's grams, not the corpus."""
-    distinct = grams.select("n", "gram").distinct()
-    rows = distinct.select("n", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).orderBy("n", "gram").collect()
-    return [[(r.n, r.gram, r.h) for r in rows[i : i + SET_MAX]] for i in range(0, len(rows), SET_MAX)]
+def gram_set(grams: DataFrame) -> list[tuple[int, str, int]] | None:
+    """The distinct (n, gram, hash) of a benchmark, None if they are more than SET_MAX."""
+    distinct = grams.select("n", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    rows = distinct.limit(SET_MAX + 1).collect()
+    return None if len(rows) > SET_MAX else sorted((r.n, r.gram, r.h) for r in rows)
 
 
 def hits_in(w: Column, grams: list[tuple[int, str, int]]) -> Column:
-    """Array of (at, n, gram): the windows of words ``w`` that are in one set of grams."""
-    found = []
+    """Array of (at, n, gram): the windows of words ``w`` that are in the set of grams."""
+    found = [F.lit([]).cast("array<struct<at:int,n:int,gram:string>>")]
     for n in sorted({g[0] for g in grams}):
         hashes, texts = [g[2] for g in grams if g[0] == n], [g[1] for g in grams if g[0] == n]
 
@@ -55,12 +55,20 @@ def hits_in(w: Column, grams: list[tuple[int, str, int]]) -> Column:
     return F.concat(*found)
 
 
+def starts(w: Column, n: int) -> Column:
+    return F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.lit([]).cast("array<int>"))
+
+
 def windows_where(w: Column, n: int, hashes: list[int], texts: list[str]) -> Column:
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.lit([]).cast("array<int>"))
-    at = F.filter(starts, lambda i: F.xxhash64(gram(w, i, n)).isin(hashes) & F.array_join(gram(w, i, n), " ").isin(texts))
+    at = F.filter(starts(w, n), lambda i: F.xxhash64(gram(w, i, n)).isin(hashes) & F.array_join(gram(w, i, n), " ").isin(texts))
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(gram(w, i, n), " ").alias("gram")))
 
 
+def covered(hits: Column) -> Column:
+    """Places of the words that windows (at, n) cover, sorted."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = SIZE) -> DataFrame:
     """For every row of ``docs``: ``keep``, n_words, hit_at (places of hit words, from 1), items (ids, as sorted strings).
 
@@ -68,25 +76,36 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[
     are then joined to the items that hold their grams.
     """
     grams = checkpointed(item_grams(benchmark, size=size))
-    sets = sets_of(grams)
-
-    def one(w: Column) -> Column:
-        hits = F.concat(*[hits_in(w, s) for s in sets]) if sets else F.lit([]).cast("array<struct<at:int,n:int,gram:string>>")
-        return F.struct(F.size(w).alias("n_words"), hits.alias("hits"))
-
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[docs[c] for c in keep], let(words(docs[text]), one).alias("_scan"))
-    covered = F.transform("_scan.hits", lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1))
-    rows = rows.select(
-        "_row", *keep, "_scan.n_words",
-        F.array_sort(F.array_distinct(F.flatten(covered))).alias("hit_at"),
-        F.array_distinct(F.transform("_scan.hits", lambda h: h["gram"])).alias("_grams"),
-    )
-    rows = checkpointed(rows)
-    hit = rows.filter(F.size("_grams") > 0).select("_row", F.explode("_grams").alias("gram"))
-    pairs = hit.join(grams.filter(F.col("item").isNotNull()).select("gram", F.col("item").cast("string").alias("item")), "gram").select("_row", "item").distinct()
-    items = pairs.groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    known = gram_set(grams)
+    row = F.monotonically_increasing_id().alias("_row")
+    names = [f"_k{i}" for i in range(len(keep))]
+    kept = [docs[c].alias(n) for c, n in zip(keep, names)]
+    if known is None:
+        rows, hits = joined(docs.select(row, *kept, words(docs[text]).alias("_w")), grams, names)
+    else:
+        both = lambda w: F.struct(F.size(w).alias("n_words"), hits_in(w, known).alias("hits"))
+        rows = docs.select(row, *kept, let(words(docs[text]), both).alias("_scan"))
+        own = F.array_distinct(F.transform("_scan.hits", lambda h: h["gram"]))
+        rows = checkpointed(rows.select("_row", *names, "_scan.n_words", covered(F.col("_scan.hits")).alias("hit_at"), own.alias("_grams")))
+        hits = rows.filter(F.size("_grams") > 0).select("_row", F.explode("_grams").alias("gram"))
+    of_item = grams.filter(F.col("item").isNotNull()).select("gram", F.col("item").cast("string").alias("item"))
+    items = hits.join(of_item, "gram").select("_row", "item").distinct().groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     out = rows.join(items, "_row", "left")
-    return out.select(*[out[c] for c in keep], "n_words", "hit_at", F.coalesce("items", F.lit([]).cast("array<string>")).alias("items"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "hit_at", F.coalesce("items", F.lit([]).cast("array<string>")).alias("items"))
+
+
+def joined(rows: DataFrame, grams: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with hit_at, (_row, gram) of their hits) by a join of digests, for any number of grams."""
+    rows = checkpointed(rows)
+    sizes = sorted(r.n for r in grams.select("n").distinct().collect())  # at most SIZE of them
+    at = lambda n: F.transform(starts(rows._w, n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.md5(F.array_join(gram(rows._w, i, n), " ")).alias("digest")))
+    windows = rows.select("_row", F.explode(F.concat(*[at(n) for n in sizes])).alias("h")).select("_row", "h.*")
+    known = grams.select("gram").distinct().withColumn("digest", F.md5("gram"))
+    found = checkpointed(windows.join(known, "digest").select("_row", "at", "n", "gram"))
+    by_row = found.groupBy(F.col("_row").alias("_r")).agg(covered(F.collect_set(F.struct("at", "n"))).alias("hit_at"))
+    out = rows.join(by_row, F.col("_row") == F.col("_r"), "left")
+    none = F.lit([]).cast("array<int>")
+    return out.select("_row", *keep, F.size("_w").alias("n_words"), F.coalesce("hit_at", none).alias("hit_at")), found.select("_row", "gram").distinct()
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -94,30 +113,32 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def _inline(docs: DataFrame, benchmark: DataFrame, text: str, size: int) -> tuple[Column, list]:
-    sets = sets_of(item_grams(benchmark, size=size))
-
-    def one(w: Column) -> Column:
-        hits = F.concat(*[hits_in(w, s) for s in sets])
-        return F.struct(F.size(w).alias("n_words"), F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))).alias("hit_at"))
-
-    return let(words(docs[text]), one), sets
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, size: int) -> tuple[list[str], DataFrame]:
+    """(names of the columns of ``docs``, ``docs`` as _c0, _c1, ..., with _text, n_words and hit_at)."""
+    names = docs.columns
+    rows = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs[text].alias("_text"))
+    grams = checkpointed(item_grams(benchmark, size=size))
+    known = gram_set(grams)
+    if known is not None:
+        both = lambda w: F.struct(F.size(w).alias("n_words"), covered(hits_in(w, known)).alias("hit_at"))
+        return names, rows.select("*", let(words(F.col("_text")), both).alias("_scan")).select(*rows.columns, "_scan.*")
+    # Hits depend on the text alone: each distinct one is scanned once.
+    rows = rows.withColumn("_digest", F.md5(F.coalesce("_text", F.lit(""))))
+    texts = rows.select(F.col("_digest").alias("doc_id"), "_text").dropDuplicates(["doc_id"])
+    hits = scan(texts, benchmark, "_text", size=size).select(F.col("doc_id").alias("_of"), "n_words", "hit_at")
+    return names, rows.join(hits, F.col("_digest") == F.col("_of")).drop("_digest", "_of")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, in one pass without a shuffle."""
-    found, sets = _inline(docs, benchmark, text, size)
-    if not sets:
-        return docs
-    return docs.filter(~let(found, lambda f: contaminated(F.size(f["hit_at"]), f["n_words"])))
+    """The rows of ``docs`` that aren't contaminated; one pass without a shuffle, up to SET_MAX grams."""
+    names, rows = with_hits(docs, benchmark, text, size)
+    return rows.filter(~contaminated(F.size("hit_at"), F.col("n_words"))).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
     """``docs`` with every hit word cut from its text, along with the break after it."""
-    found, sets = _inline(docs, benchmark, text, size)
-    if not sets:
-        return docs
-    plain = F.coalesce(docs[text], F.lit(""))
+    names, rows = with_hits(docs, benchmark, text, size)
+    plain = F.coalesce("_text", F.lit(""))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     breaks, own = F.split(plain, word), F.array_remove(F.split(plain, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
@@ -125,5 +146,6 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", siz
         kept = F.transform(F.sequence(F.lit(1), F.size(v["own"])), lambda i: F.when(F.array_contains(v["hit"], i), "").otherwise(F.concat(F.get(v["own"], i - 1), F.get(v["breaks"], i))))
         return F.concat(F.get(v["breaks"], F.lit(0)), F.array_join(kept, ""))
 
-    parts = F.struct(own.alias("own"), breaks.alias("breaks"), found["hit_at"].alias("hit"))
-    return docs.withColumn(text, F.when(docs[text].isNull() | (F.size(own) == 0), docs[text]).otherwise(let(parts, rest)))
+    parts = F.struct(own.alias("own"), breaks.alias("breaks"), F.col("hit_at").alias("hit"))
+    cut = F.when(F.col("_text").isNull() | (F.size("hit_at") == 0), F.col("_text")).otherwise(let(parts, rest))
+    return rows.select(*[(cut if c == text else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)])

@@ -65,12 +65,19 @@ def test_contamination(spark, corpus):
     assert decontaminate.scan(documents(spark, docs).limit(0), bench).count() == 0
 
 
-def test_contamination_in_several_sets(spark, monkeypatch):
+def test_contamination_by_a_join(spark, corpus, monkeypatch):
+    """More grams than may be broadcast."""
     monkeypatch.setattr(decontaminate, "SET_MAX", 3)
     text = words(random.Random(1), 60)
-    docs = documents(spark, [(1, text, "en", "s"), (2, "nothing here", "en", "s")])
-    bench = spark.createDataFrame([(7, " ".join(text.split()[10:40]))], "item_id long, text string")
-    assert {r.doc_id: len(r.hit_at) for r in decontaminate.scan(docs, bench).collect()} == {1: 30, 2: 0}
+    rows = [(1, text, "en", "s"), (2, "nothing here", "en", "s"), (3, text + " " + words(random.Random(2), 2000), "en", "s"), (4, "lone", "en", "s"), *corpus[:12], *corpus[-4:]]
+    items = [(7, " ".join(text.split()[10:40])), (8, "lone"), (9, " ".join(text.split()[12:30]))]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.scan(docs, bench).select("doc_id", "n_words", F.size("hit_at").alias("h"), F.size("items").alias("i"), F.sha2(F.array_join("items", ","), 256), decontaminate.contaminated(F.size("hit_at"), F.col("n_words")))
+    want = brute.contamination([(d, t) for d, t, *_ in rows], items)
+    assert Counter(map(tuple, found.collect())) == Counter(want)
+    clean = decontaminate.clean_documents(docs, bench)
+    assert clean.columns == docs.columns and Counter(r.doc_id for r in clean.collect()) == Counter(w[0] for w in want if not w[-1])
+    assert next(r.text for r in decontaminate.without_spans(docs, bench).collect() if r.doc_id == 1) == " ".join(text.split()[:10] + text.split()[40:])
 
 
 def test_cutting_hit_words(spark):
