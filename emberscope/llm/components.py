@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed, merge
+from emberscope.llm.common import merge, removed, rewritten
 
 ROUNDS = 60
 
@@ -17,16 +17,17 @@ def components(edges: DataFrame) -> DataFrame:
     shuffled, so a hub's edges don't meet) and then its label's own label, which halves chains.
     Rounds end when no label changes; each is written to the shared folder.
     """
-    both = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    spark = edges.sparkSession
+    both, _ = rewritten(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, path = rewritten(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     for _ in range(ROUNDS):
         near = both.join(merge(labels), both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
         low = labels.join(merge(near), labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "m").alias("new"))
         jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        step = low.join(merge(jump), F.col("new") == F.col("_n")).select("node", "old", F.least("new", "_l").alias("label"))
-        step = checkpointed(step)
-        changed = step.filter("label < old").limit(1).count()
-        labels = step.select("node", "label")
+        step, new = rewritten(low.join(merge(jump), F.col("new") == F.col("_n")).select("node", "old", F.least("new", "_l").alias("label")))
+        changed = not step.filter("label < old").isEmpty()
+        removed(spark, path)
+        labels, path = step.select("node", "label"), new
         if not changed:
             return labels
     raise RuntimeError(f"labels still change after {ROUNDS} rounds")

@@ -20,8 +20,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberscope.llm.common import tidy
 
-SAMPLE, BITS, GRAMS, EPOCHS = 1500, 15, (1, 2, 3), 4
+
+SAMPLE, BITS, GRAMS, EPOCHS = 1000, 15, (1, 2, 3), 4
 #: FTRL-proximal: learning rate and its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
@@ -44,7 +46,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         hashes.append(h >> np.uint32(32 - BITS))
     counts = np.bincount(np.concatenate(hashes), minlength=1 << BITS)
     at = np.flatnonzero(counts)
-    return at, 1 + np.log(counts[at])
+    return at.astype(np.int32), (1 + np.log(counts[at])).astype(np.float32)
 
 
 @dataclass
@@ -151,7 +153,7 @@ def trained(docs: DataFrame, label: str = "lang", text: str = "text", size: int
         m = fit(rows)
         yield pa.RecordBatch.from_pydict({"languages": [m.languages], "idf": [m.idf.tobytes()], "weights": [m.weights.tobytes()], "temperature": [m.temperature]})
 
-    one = sample(docs, label, text, size).repartition(1).mapInArrow(run, "languages array<string>, idf binary, weights binary, temperature double").first()
+    one = sample(docs, label, text, size).repartition(1).mapInArrow(tidy(run), "languages array<string>, idf binary, weights binary, temperature double").first()
     if one is None:  # Spark drops the task where it knows that there are no rows
         return fit([])
     weights = np.frombuffer(bytes(one.weights)).reshape(len(one.languages), 1 << BITS)
@@ -177,7 +179,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     names = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], docs[text].alias("_text"))
     kinds = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
-    out = rows.mapInArrow(predictor(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}lang_pred string, score double")
+    out = rows.mapInArrow(tidy(predictor(docs.sparkSession.sparkContext.broadcast(model))), f"{kinds}lang_pred string, score double")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
 
 
