@@ -22,6 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in fewer partitions, without a shuffle: small tables would otherwise be as many files as there are shuffle partitions.
+
+    Two for each core, but an eighth of the shuffle partitions at least: cores may still be few where they come on demand.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)
@@ -34,7 +43,7 @@ def rewritten(df: DataFrame) -> tuple[DataFrame, str]:
     For loops: there the estimated sizes of checkpoints would multiply with every round.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed, merge, tidy
+from emberscope.llm.common import checkpointed, few_files, merge, tidy
 from emberscope.llm.components import components
 
 #: Similar: 100 * intersection >= PERCENT * union.
@@ -119,7 +119,7 @@ def flagged(mean: float):
 def frequent(docs: DataFrame, text: str, words: int) -> bytes:
     """Bits of the hash classes that hold a frequent shingle: 2**COUNT_BITS of them for any input."""
     sums = docs.select(docs[text].alias("t")).mapInArrow(tidy(counted(words)), "chunk int, counts binary").groupBy("chunk").applyInArrow(added, "chunk int, counts binary, total bigint")
-    sums = checkpointed(sums)
+    sums = checkpointed(few_files(sums))
     mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << COUNT_BITS)
     each = (1 << COUNT_BITS) // CHUNKS // 8
     bits = bytearray(each * CHUNKS)
@@ -349,23 +349,23 @@ class Join:
         """(a, b, d) for the pairs that the sketches allow, by their whole sets."""
         side = lambda s: self.sets.select(F.col("node").alias(f"node_{s}"), F.col("s_n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         pairs = pairs.join(merge(side("a")), F.col("a") == F.col("node_a")).join(merge(side("b")), F.col("b") == F.col("node_b"))
-        pairs = checkpointed(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(possible(self.percent)), "a long, b long, n_a int, n_b int"))
+        pairs = checkpointed(few_files(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(possible(self.percent)), "a long, b long, n_a int, n_b int")))
         active = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         active = self.sets.select("node", "_id", "s_h1", "s_h2").join(merge(active), "node").withColumnRenamed("_id", "_of")
         texts = self.docs.select("_id", "_text").join(merge(active), F.col("_id").eqNullSafe(F.col("_of"))).select("node", "s_h1", "s_h2", "_text")
-        sets = checkpointed(texts.mapInArrow(tidy(sets_of(self.words)), "node long, set binary").dropDuplicates(["node"]))
+        sets = checkpointed(few_files(texts.mapInArrow(tidy(sets_of(self.words)), "node long, set binary").dropDuplicates(["node"])))
         both = pairs.join(merge(sets.select(F.col("node").alias("node_a"), F.col("set").alias("x"))), F.col("a") == F.col("node_a"))
         both = both.join(merge(sets.select(F.col("node").alias("node_b"), F.col("set").alias("y"))), F.col("b") == F.col("node_b"))
         sizes = both.select("a", "b", "x", "y").mapInArrow(tidy(compared), "a long, b long, both long")
         out = sizes.join(merge(pairs), ["a", "b"])
         union = F.col("n_a") + F.col("n_b") - F.col("both")
-        return checkpointed(out.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= self.percent * union).alias("linked")))
+        return checkpointed(few_files(out.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= self.percent * union).alias("linked"))))
 
     def labels(self) -> DataFrame:
         """(node, label) of the sets that link to another one."""
         spread = self.sets.select("node", F.col("s_n").alias("n"), F.posexplode("prefix").alias("pos", "key")).select("key", "pos", "node", "n")
         found = spread.repartition("key").sortWithinPartitions("key", "pos", "node").mapInArrow(tidy(cells(self.percent)), "a long, b long, cell long")
-        found = checkpointed(found.distinct())
+        found = checkpointed(few_files(found.distinct()))
         first = self.verified(found.filter("a <> b").select("a", "b").distinct())
         links = first.filter("linked").select("a", "b")
         labels = components(links)
@@ -378,7 +378,7 @@ class Join:
         own = own.select("key", "node", "n", "pos", "label", F.when(F.col("node") == F.col("_pivot"), 0.0).otherwise(F.coalesce("d", F.lit(float("nan")))).alias("d"))
         own = own.withColumns({"n": F.col("n").cast("long"), "pos": F.col("pos").cast("long")})
         left = own.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(rest_of(self.percent)), "a long, b long")
-        left = checkpointed(left.distinct().join(merge(first.select("a", "b")), ["a", "b"], "left_anti"))
+        left = checkpointed(few_files(left.distinct().join(merge(first.select("a", "b")), ["a", "b"], "left_anti")))
         if left.isEmpty():
             return labels
         second = self.verified(left).filter("linked").select("a", "b")
