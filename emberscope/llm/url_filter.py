@@ -74,10 +74,9 @@ def reputation(hosts: DataFrame, strength: float = STRENGTH) -> DataFrame:
     h = hosts.withColumn("domain", domain_of(hosts.host)).withColumn("suffix", suffix_of(hosts.host))
     domains = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n_d"), F.sum("bad").alias("bad_d"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("bad_d").alias("bad_s"))
-    total = suffixes.agg(F.sum("n_s").alias("n_t"), F.sum("bad_s").alias("bad_t"))
+    all_n, all_bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     k = F.lit(strength)
-    # One row: all outcomes there are.
-    s = suffixes.join(F.broadcast(total), F.lit(True), "cross").withColumn("rate_s", (F.col("bad_s") + k * (F.col("bad_t") + 1) / (F.col("n_t") + 2)) / (F.col("n_s") + k))
+    s = suffixes.withColumn("rate_s", (F.col("bad_s") + k * (F.lit(all_bad) + 1) / (F.lit(all_n) + 2)) / (F.col("n_s") + k))
     d = domains.join(s.select("suffix", "rate_s"), "suffix").withColumn("rate_d", (F.col("bad_d") + k * F.col("rate_s")) / (F.col("n_d") + k)).select("domain", "rate_d")
     h = h.join(d, "domain")
     return h.select("host", (F.col("bad") + k * F.col("rate_d")).alias("alpha"), (F.col("n") - F.col("bad") + k * (1 - F.col("rate_d"))).alias("beta"))
