@@ -86,7 +86,7 @@ def counted(words: int):
         hashes, counts = Hashes(), np.zeros(1 << COUNT_BITS, dtype=np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(counts, bucket(shingles(text.as_py(), words, hashes)), 1)
+                np.add.at(counts, bucket(shingles(text.as_py(), words, hashes)), np.uint32(1))  # a plain 1 is fifteen times slower
         small = np.minimum(counts, 65535).astype("<u2").reshape(CHUNKS, -1)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], ["chunk", "counts"])
