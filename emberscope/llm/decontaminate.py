@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import ascii_lower, checkpointed, first_only, let
+from emberscope.llm.common import ascii_lower, checkpointed, few_files, first_only, let
 
 SIZE, SET_MAX = 13, 100_000
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,7 +75,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[
     The scan's results, without texts, are written to the shared folder once; only rows with hits
     are then joined to the items that hold their grams.
     """
-    grams = checkpointed(item_grams(benchmark, size=size))
+    grams = checkpointed(few_files(item_grams(benchmark, size=size)))
     known = gram_set(grams)
     row = F.monotonically_increasing_id().alias("_row")
     names = [f"_k{i}" for i in range(len(keep))]
@@ -117,7 +117,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, size: int) -> tu
     """(names of the columns of ``docs``, ``docs`` as _c0, _c1, ..., with _text, n_words and hit_at)."""
     names = docs.columns
     rows = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs[text].alias("_text"))
-    grams = checkpointed(item_grams(benchmark, size=size))
+    grams = checkpointed(few_files(item_grams(benchmark, size=size)))
     known = gram_set(grams)
     if known is not None:
         both = lambda w: F.struct(F.size(w).alias("n_words"), covered(hits_in(w, known)).alias("hit_at"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed, first_only
+from emberscope.llm.common import checkpointed, few_files, first_only
 
 CYCLE, MOST, BUCKETS = (5.0, 2.0, 1.0), 3, 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,7 +78,7 @@ def targets(sums: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, digest, size, source_size, target, copies) for every row of ``docs``."""
-    rows = checkpointed(keyed(docs, labels))
+    rows = checkpointed(few_files(keyed(docs, labels)))
     sums = rows.groupBy("sk", "source", "bucket").agg(F.sum("size").alias("words"))
     t = targets(sums)
     ranges = sums.select("sk", "bucket", F.coalesce(F.sum("words").over(W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))

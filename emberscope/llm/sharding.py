@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed
+from emberscope.llm.common import checkpointed, few_files
 
 ROW_BYTES, GRID, TIES, FAN = 16, 20, 28, 4096
 #: Units over this part of a shard's bytes are dealt out before the tree grows.
@@ -180,7 +180,7 @@ def kd_shards(docs: DataFrame, shards: int = 40, text: str = "text", keep: tuple
     place, room = dealt([(r._unit, r.bytes) for r in big], shards, t.bytes)
     known = F.broadcast(docs.sparkSession.createDataFrame(sorted(place.items()), "_big string, _place int"))
     small = units.join(known, F.col("_unit") == F.col("_big"), "left_anti")
-    small = checkpointed(small.select(F.col("_unit").alias("_small"), "bytes", *coordinates(F.xxhash64("_unit"))))
+    small = checkpointed(few_files(small.select(F.col("_unit").alias("_small"), "bytes", *coordinates(F.xxhash64("_unit")))))
     root = grow(small, 4, room)
     leaves = small.select("_small", placed([root], lambda n: F.lit(n.first)).alias("shard"))
     rows = rows.join(known, F.col("_unit") == F.col("_big"), "left")
