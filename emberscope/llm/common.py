@@ -53,6 +53,21 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table of ``checkpointed`` that nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        removed(df.sparkSession, file.get())
+
+
+def swept(spark: SparkSession) -> None:
+    """Has Spark delete the shuffles of tables whose lineage is cut: it does so when the driver's JVM collects their plans, which may be long after."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tidy(run):
     """``run`` over Arrow batches, giving freed memory back at its end: Python workers live on for later stages."""
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed, few_files, merge, tidy
+from emberscope.llm.common import checkpointed, dropped, few_files, merge, swept, tidy
 from emberscope.llm.components import components
 
 #: Similar: 100 * intersection >= PERCENT * union.
@@ -339,33 +339,44 @@ class Join:
         rows = self.docs.select("_id", *[f"_k{i}" for i in range(len(keep))], "_text")
         kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
         rows = rows.mapInArrow(tidy(signed(words, percent, hot)), f"{kinds}n int, h1 long, h2 long, prefix array<long>, sketch binary")
-        self.rows = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
+        whole = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
         digest = ["n", "h1", "h2"]
-        sets = self.rows.filter("n > 0").groupBy(*digest).agg(F.min("_row").alias("node"), F.min("_id").alias("least"))
+        sets = whole.filter("n > 0").groupBy(*digest).agg(F.min("_row").alias("node"), F.min("_id").alias("least"))
         sets = sets.select("node", "least", *[F.col(c).alias(f"s_{c}") for c in digest])
-        self.sets = checkpointed(sets.join(merge(self.rows.select("_row", "_id", "prefix", "sketch")), F.col("node") == F.col("_row")).drop("_row"))
+        self.sets = checkpointed(sets.join(merge(whole.select("_row", "_id", "prefix", "sketch")), F.col("node") == F.col("_row")).drop("_row"))
+        self.rows = checkpointed(whole.drop("prefix", "sketch"))
+        dropped(whole)
+        swept(docs.sparkSession)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, d) for the pairs that the sketches allow, by their whole sets."""
+        spark = self.docs.sparkSession
         side = lambda s: self.sets.select(F.col("node").alias(f"node_{s}"), F.col("s_n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         pairs = pairs.join(merge(side("a")), F.col("a") == F.col("node_a")).join(merge(side("b")), F.col("b") == F.col("node_b"))
         pairs = checkpointed(few_files(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(possible(self.percent)), "a long, b long, n_a int, n_b int")))
+        swept(spark)
         active = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         active = self.sets.select("node", "_id", "s_h1", "s_h2").join(merge(active), "node").withColumnRenamed("_id", "_of")
         texts = self.docs.select("_id", "_text").join(merge(active), F.col("_id").eqNullSafe(F.col("_of"))).select("node", "s_h1", "s_h2", "_text")
         sets = checkpointed(few_files(texts.mapInArrow(tidy(sets_of(self.words)), "node long, set binary").dropDuplicates(["node"])))
+        swept(spark)
         both = pairs.join(merge(sets.select(F.col("node").alias("node_a"), F.col("set").alias("x"))), F.col("a") == F.col("node_a"))
         both = both.join(merge(sets.select(F.col("node").alias("node_b"), F.col("set").alias("y"))), F.col("b") == F.col("node_b"))
         sizes = both.select("a", "b", "x", "y").mapInArrow(tidy(compared), "a long, b long, both long")
         out = sizes.join(merge(pairs), ["a", "b"])
         union = F.col("n_a") + F.col("n_b") - F.col("both")
-        return checkpointed(few_files(out.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= self.percent * union).alias("linked"))))
+        out = checkpointed(few_files(out.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= self.percent * union).alias("linked"))))
+        dropped(sets)
+        dropped(pairs)
+        swept(spark)
+        return out
 
     def labels(self) -> DataFrame:
         """(node, label) of the sets that link to another one."""
         spread = self.sets.select("node", F.col("s_n").alias("n"), F.posexplode("prefix").alias("pos", "key")).select("key", "pos", "node", "n")
         found = spread.repartition("key").sortWithinPartitions("key", "pos", "node").mapInArrow(tidy(cells(self.percent)), "a long, b long, cell long")
         found = checkpointed(few_files(found.distinct()))
+        swept(self.docs.sparkSession)
         first = self.verified(found.filter("a <> b").select("a", "b").distinct())
         links = first.filter("linked").select("a", "b")
         labels = components(links)
@@ -379,6 +390,7 @@ class Join:
         own = own.withColumns({"n": F.col("n").cast("long"), "pos": F.col("pos").cast("long")})
         left = own.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(rest_of(self.percent)), "a long, b long")
         left = checkpointed(few_files(left.distinct().join(merge(first.select("a", "b")), ["a", "b"], "left_anti")))
+        swept(self.docs.sparkSession)
         if left.isEmpty():
             return labels
         second = self.verified(left).filter("linked").select("a", "b")
@@ -391,8 +403,7 @@ class Join:
         sets = sets.withColumn("label", F.coalesce("label", "node"))
         ids = sets.groupBy(F.col("label").alias("_label")).agg(F.min("least").alias("component_id"))
         sets = sets.join(merge(ids), F.col("label") == F.col("_label")).select("s_n", "s_h1", "s_h2", "component_id", F.col("label"))
-        rows = self.rows.drop("prefix", "sketch")
-        out = rows.join(merge(sets), (F.col("n") == F.col("s_n")) & (F.col("h1") == F.col("s_h1")) & (F.col("h2") == F.col("s_h2")), "left")
+        out = self.rows.join(merge(sets), (F.col("n") == F.col("s_n")) & (F.col("h1") == F.col("s_h1")) & (F.col("h2") == F.col("s_h2")), "left")
         names = [F.col(f"_k{i}").alias(c) for i, c in enumerate(self.keep)]
         component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
         return out.select(*names, F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "_id", "_row", F.when(F.col("n") > 0, F.col("label")).alias("_label"))
