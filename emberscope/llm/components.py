@@ -7,27 +7,52 @@ from pyspark.sql import functions as F
 
 from emberscope.llm.common import merge, removed, rewritten
 
-ROUNDS = 60
+
+def stars(graph: DataFrame) -> tuple[DataFrame, str]:
+    """(node, label) and its path: every node hooks to its least neighbour if that is less; its label is the end of its way of hooks.
+
+    Ways fall, so they end; each round doubles the steps that a label is away, until none changes.
+    """
+    spark = graph.sparkSession
+    labels, path = rewritten(graph.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    changed = True
+    while changed:
+        jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        step, new = rewritten(labels.join(merge(jump), labels.label == F.col("_n")).select("node", F.col("label").alias("old"), F.col("_l").alias("label")))
+        changed = not step.filter("label < old").isEmpty()
+        removed(spark, path)
+        labels, path = step.select("node", "label"), new
+    return labels, path
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for every node of ``edges`` (a, b) the smallest node that it reaches.
 
-    Each round gives every node the smallest label among its neighbours' (summed up before it is
-    shuffled, so a hub's edges don't meet) and then its label's own label, which halves chains.
-    Rounds end when no label changes; each is written to the shared folder.
+    Each round makes stars (the least neighbour is summed up before it is shuffled, so a hub's edges
+    don't meet) and contracts each to its root.  A root that neither hooks nor is hooked to has
+    neighbours that all went to lesser roots, so it hooks in the next round: two rounds at
+    least halve the roots with edges, in any order of ids.  Rounds end when no edge is left; then the
+    rounds' labels are chained, last ones first.  Every table is written to the shared folder.
     """
     spark = edges.sparkSession
-    both, _ = rewritten(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels, path = rewritten(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(ROUNDS):
-        near = both.join(merge(labels), both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
-        low = labels.join(merge(near), labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "m").alias("new"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        step, new = rewritten(low.join(merge(jump), F.col("new") == F.col("_n")).select("node", "old", F.least("new", "_l").alias("label")))
-        changed = not step.filter("label < old").isEmpty()
+    graph, path = rewritten(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    rounds = []
+    while not rounds or not graph.isEmpty():
+        labels, at = stars(graph)
+        rounds.append((labels, at))
+        ends = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        left = graph.join(merge(ends), graph.a == F.col("_n")).select(F.col("_l").alias("a"), "b").distinct()
+        left = left.join(merge(ends), left.b == F.col("_n")).select("a", F.col("_l").alias("b")).filter("a <> b").distinct()
+        graph, new = rewritten(left)
         removed(spark, path)
-        labels, path = step.select("node", "label"), new
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {ROUNDS} rounds")
+        path = new
+    removed(spark, path)
+    labels, at = rounds.pop()
+    while rounds:
+        lower, below = rounds.pop()
+        ends = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        labels, new = rewritten(lower.join(merge(ends), lower.label == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label")))
+        removed(spark, at)
+        removed(spark, below)
+        at = new
+    return labels
