@@ -2,10 +2,11 @@
 
 Base spans (kinds ``assign``, ``access``, ``hex``) are always kept.  Candidates for added spans
 (kind ``random``) are unbroken runs of ``MIN_RUN`` or more code characters with a digit and a letter
-that overlap no base span.  Each gets an encoding (hex, base32, base64 or its URL form) and three
-tests of its symbols' values: chi-squared uniformity over the alphabet, runs above and below the
-middle, and lag-one serial correlation, combined by Fisher's method.  A run stays a candidate
-if that doesn't reject randomness at ``REJECT``.
+that overlap no base span.  Each gets the smallest encoding that holds it (hex, base32 and base36 in
+either case, base62, base64 or its URL form; a UUID's hyphens don't count) and three tests of its
+symbols' values: chi-squared uniformity over the alphabet, runs above and below the middle, and
+lag-one serial correlation, combined by Fisher's method.  A run stays a candidate if that doesn't
+reject randomness at ``REJECT``.
 
 Whether ordinary text could look so is judged by length: character-class transitions, counted over
 all texts, give the probability of the run's classes as text against that under its encoding.
@@ -39,10 +40,15 @@ ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+UUID = re.compile(r"(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9A-F]{8}(?:-[0-9A-F]{4}){3}-[0-9A-F]{12})")
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}")
 
 UP, LOW, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-ENCODINGS = {"hex": DIGIT + "ABCDEF", "base32": UP + "234567", "base64": UP + LOW + DIGIT + "+/", "base64url": UP + LOW + DIGIT + "-_"}
+#: Smallest alphabet first.
+ENCODINGS = {
+    "hex": DIGIT + "ABCDEF", "lower hex": DIGIT + "abcdef", "base32": UP + "234567", "lower base32": LOW + "234567", "base36": DIGIT + UP, "lower base36": DIGIT + LOW,
+    "base62": UP + LOW + DIGIT, "base64": UP + LOW + DIGIT + "+/", "base64url": UP + LOW + DIGIT + "-_",
+}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,6 +63,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def symbols(run: str) -> str:
+    """The run without padding, and without the hyphens of a UUID's groups."""
+    return run.replace("-", "") if UUID.fullmatch(run) else run.rstrip("=")
+
+
 def encoding(run: str) -> str | None:
     """The smallest alphabet that holds the run."""
     return next((name for name, letters in ENCODINGS.items() if set(run) <= set(letters)), None)
@@ -104,7 +115,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """(start, end, encoding, transitions) of the runs that pass the battery."""
     out = []
     for m in RUN.finditer(text):
-        run = m[0].rstrip("=")
+        run = symbols(m[0])
         if any(a < m.end() and m.start() < b for a, _, b in base) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
             continue
         name = encoding(run)
