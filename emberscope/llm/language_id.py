@@ -1,8 +1,8 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF of hashed character n-grams.
 
 Training uses follow-the-regularised-leader with elastic-net penalties on a bounded sample,
-``SAMPLE`` labelled rows for each language (those with the smallest row hashes); every tenth of them is
-left out of the updates and fits the temperature that calibrates the probabilities.  Prediction
+``SAMPLE`` distinct labelled texts for each language (those with the smallest hashes), which also give the
+document frequencies of TF-IDF; every tenth of them is left out of the updates and fits the temperature that calibrates the probabilities.  Prediction
 runs over every whole text in Arrow batches with the model broadcast (languages * 2**BITS
 weights).  Language, source and id of a row are never inputs of its prediction.
 
@@ -127,16 +127,17 @@ def calibrated(logits: list[tuple[np.ndarray, int]]) -> float:
 
 
 def sample(docs: DataFrame, label: str = "lang", text: str = "text", size: int = SAMPLE) -> DataFrame:
-    """(h, lang, text) of a few more than ``size`` rows for each language, the same ones on each run.
+    """(h, lang, text) of a few more than ``size`` distinct texts for each language, the same ones on each run.
 
-    Languages' counts set the part of the hash range from which rows come.
+    Languages' counts of distinct texts set the part of the hash range from which they come; copies of
+    one are a single row, and are put together before they are shuffled.
     """
     rows = docs.select(docs[text].alias("text"), docs[label].alias("lang")).filter("text is not null and lang is not null")
-    rows = rows.withColumn("h", F.abs(F.xxhash64("text", "lang") % (1 << 30)) / float(1 << 30))
+    rows = rows.withColumn("_hash", F.xxhash64("text", "lang")).withColumn("h", F.abs(F.col("_hash") % (1 << 30)) / float(1 << 30))
     # One row for each language, of which the model holds 2**BITS weights anyway.
-    counts = [(r.lang, (1.2 * size + 30) / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    counts = [(r.lang, (1.2 * size + 30) / r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct("_hash", 0.02).alias("n")).collect()]
     part = F.broadcast(docs.sparkSession.createDataFrame(counts, "_lang string, part double"))
-    return rows.join(part, F.col("lang") == F.col("_lang")).filter("h <= part").select("h", "lang", "text")
+    return rows.join(part, F.col("lang") == F.col("_lang")).filter("h <= part").select("h", "lang", "text").distinct()
 
 
 def trained(docs: DataFrame, label: str = "lang", text: str = "text", size: int = SAMPLE) -> Model:
