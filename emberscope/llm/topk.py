@@ -1,8 +1,8 @@
-"""Exact top-k by integer inner product: a ball tree per shard, branch and bound, shared k-th scores.
+"""Exact top-k by integer inner product: leaf balls per shard, bounds, shared k-th scores.
 
 Vectors become integers ``floor(scale * x)``.  Candidates are dealt into shards of about
-``SHARD`` vectors; a task builds its shard's ball tree (nodes with centre, radius and largest
-norm) and answers a block of queries.  For every query it visits leaves in the order of their
+``SHARD`` vectors; a task builds its shard's leaf balls (centre and radius; inner nodes
+are not kept) and answers a block of queries.  For every query it visits leaves in the order of their
 upper bound ``q . centre + |q| * radius`` and stops where that bound is under the query's current
 k-th score.  That score is shared: a first pass opens only each query's best leaf in every shard,
 and the k-th best of what it finds over all shards is where the full pass begins.
