@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,17 @@ OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; our own only where that is unset, as in tests."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (as in tests) gets a folder of its own; a cluster gets an error, as its
+    executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp("-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -37,13 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def rewritten(df: DataFrame) -> tuple[DataFrame, str]:
+def rewritten(df: DataFrame, few: bool = True) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, and where; unlike a checkpoint's, its size is known to the planner.
 
-    For loops: there the estimated sizes of checkpoints would multiply with every round.
+    For loops: there the estimated sizes of checkpoints would multiply with every round.  ``few``: in few files.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    few_files(df).write.parquet(path)
+    (few_files(df) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
