@@ -1,10 +1,12 @@
 """Token counts: pieces are counted once for each distinct pre-token and joined to documents.
 
 A first pass counts the pre-tokens of the corpus; the tokenizer then sees every distinct one
-once and only its number of pieces is kept, no ids.  The ``COMMON`` most frequent pre-tokens
-(of at most ``SHORT`` characters, so their size is bounded) are broadcast: a second pass sums their pieces
-within each document.  The other, rare pre-tokens of a document leave with their frequencies, are
-joined to the table of pieces and summed by document.  So no frequent word is ever a join key.
+once and only its number of pieces is kept, no ids.  The most frequent pre-tokens are broadcast, ``COMMON`` of
+them at most and each of at most ``SHORT`` bytes: a histogram of their counts, of a few hundred rows at any size, gives
+the count from which they are.  A second pass sums their pieces within each document.  The other
+pre-tokens of a document leave with their frequencies, are joined to the table of pieces and summed by
+document.  Of those a short one is rare by the same histogram; a longer one, which may be as frequent as any, goes
+by its SHA-256 digest and is dealt over ``SALT`` keys.  So no frequent pre-token is ever a single join key.
 
 A pre-token here is what the tokenizer itself would split off: the tokenizer's split never
 crosses white space, and inside text of ASCII and Latin-1 letters its rule (contractions, runs of
@@ -20,12 +22,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed
+from emberscope.llm.common import checkpointed, merge
 
 COMMON, SHORT, FLUSH, LIMIT = 200_000, 64, 200_000, 2048
+#: Steps of the histogram for each doubling of the count, and keys of a long pre-token.
+STEPS, SALT = 8, 16
 LATIN = "À-ÖØ-öø-ÿ"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\v\f\ra-z0-9ß-öø-ÿ]+"
 
@@ -98,10 +102,31 @@ def counter(tokenizer_json):
     return run
 
 
+def step_of(n: Column) -> Column:
+    """The histogram's step of a count."""
+    return F.floor(F.log2(n.cast("double")) * STEPS).cast("int")
+
+
+def most_frequent(pieces: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens of at most SHORT bytes: whole steps of the histogram, of ``most`` rows together at most."""
+    short = pieces.filter(F.octet_length("token") <= SHORT)
+    least, total = None, 0
+    for step, n in sorted(map(tuple, short.groupBy(step_of(F.col("n"))).count().collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = step
+    if least is None:
+        return {}
+    top = short.filter(step_of(F.col("n")) >= least).select("token", "pieces")
+    return dict(zip(*[c.to_pylist() for c in top.toArrow().columns]))
+
+
 def summer(special: tuple[str, ...], common):
-    """Over Arrow batches whose last column is text: in its place, pieces of the common pre-tokens, and the rare ones with their frequencies."""
+    """Over Arrow batches whose last column is text: in its place, pieces of the common pre-tokens, and the rest's keys with their frequencies."""
 
     def run(batches):
+        import hashlib
         from collections import Counter
 
         import pyarrow as pa
@@ -114,6 +139,8 @@ def summer(special: tuple[str, ...], common):
                 for token, n in Counter(split(text.as_py() or "")).items():
                     if token in known:
                         total += n * known[token]
+                    elif len(raw := token.encode("utf-8", "surrogatepass")) > SHORT:
+                        rare[" " + hashlib.sha256(raw).hexdigest()] = n  # no pre-token holds a space
                     else:
                         rare[token] = n
                 sums.append(total)
@@ -135,14 +162,18 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
     special = tuple(t["content"] for t in json.loads(source)["added_tokens"])
     words = docs.select(docs[text].alias("t")).mapInArrow(vocabulary(special), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     pieces = checkpointed(words.mapInArrow(counter(spark.sparkContext.broadcast(source)), "token string, n long, pieces long"))
-    top = pieces.filter(F.length("token") <= SHORT).orderBy(F.desc("n"), "token").limit(common).select("token", "pieces")
-    known = spark.sparkContext.broadcast(dict(zip(*[c.to_pylist() for c in top.toArrow().columns])))
+    known = spark.sparkContext.broadcast(most_frequent(pieces, common))
     names = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("n_bytes"), docs[text].alias("_text"))
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in [*names, "n_bytes"])
     summed = rows.mapInArrow(summer(special, known), f"{kinds}, known long, tokens array<string>, counts array<long>")
     summed = checkpointed(summed.withColumn("_row", F.monotonically_increasing_id()))
-    rare = summed.select("_row", F.explode(F.arrays_zip("tokens", "counts")).alias("r")).select("_row", F.col("r.tokens").alias("token"), F.col("r.counts").alias("freq"))
-    more = rare.join(pieces.select("token", "pieces"), "token").groupBy("_row").agg(F.sum(F.col("freq") * F.col("pieces")).alias("more"))
+    salt = lambda key, of: F.when(key.startswith(" "), of).otherwise(F.lit(0))
+    rare = summed.select("_row", F.explode(F.arrays_zip("tokens", "counts")).alias("r")).select("_row", F.col("r.tokens").alias("key"), F.col("r.counts").alias("freq"))
+    rare = rare.withColumn("salt", salt(F.col("key"), F.pmod(F.xxhash64("_row"), F.lit(SALT)).cast("int")))
+    key = F.when(F.octet_length("token") > SHORT, F.concat(F.lit(" "), F.sha2(F.col("token").cast("binary"), 256))).otherwise(F.col("token"))
+    of = pieces.select(key.alias("key"), "pieces")
+    of = of.select("key", "pieces", F.explode(F.sequence(F.lit(0), salt(F.col("key"), F.lit(SALT - 1)))).alias("salt"))
+    more = rare.join(merge(of), ["key", "salt"]).groupBy("_row").agg(F.sum(F.col("freq") * F.col("pieces")).alias("more"))
     out = summed.select("_row", *names, "n_bytes", "known").join(more, "_row", "left")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
