@@ -27,8 +27,9 @@ SAMPLE, BITS, GRAMS, EPOCHS = 1000, 15, (1, 2, 3), 4
 #: FTRL-proximal: learning rate and its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
-#: Documents under this calibrated probability are rejected by ``accepted``.
-LEAST = 0.3
+#: ``accepted`` rejects documents whose best language isn't likelier than all others together, and those
+#: that are this surely of another language than the one they claim.
+LEAST, SURE = 0.5, 0.9
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -161,14 +162,18 @@ def trained(docs: DataFrame, label: str = "lang", text: str = "text", size: int
     return Model(list(one.languages), np.frombuffer(bytes(one.idf)), weights, one.temperature)
 
 
-def predictor(model):
-    """Over Arrow batches whose last column is text: in its place, language and score."""
+def predictor(parts):
+    """Over Arrow batches whose last column is text: in its place, language and score.
+
+    ``parts`` is a broadcast of a model's fields: a broadcast of a ``Model`` would need this package on the workers.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        model = Model(*parts.value)
         for batch in batches:
-            found = [model.value.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = [model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             own = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], "lang_pred", "score"])
 
@@ -180,7 +185,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     names = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], docs[text].alias("_text"))
     kinds = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
-    out = rows.mapInArrow(tidy(predictor(docs.sparkSession.sparkContext.broadcast(model))), f"{kinds}lang_pred string, score double")
+    parts = docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.weights, model.temperature))
+    out = rows.mapInArrow(tidy(predictor(parts)), f"{kinds}lang_pred string, score double")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
 
 
@@ -196,11 +202,15 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
 
-def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose language is known with probability ``least`` or more, by a model of the rows not held out."""
+def accepted(docs: DataFrame, least: float = LEAST, sure: float = SURE) -> DataFrame:
+    """The rows of ``docs`` whose language is known with probability ``least`` or more, by a model of the rows not held out.
+
+    A row that claims a language goes too if the model is ``sure`` of another one; a null claim is no claim.
+    """
     few = docs.select("doc_id", "text", "lang")
     model = trained(few.filter(~held_out(few["doc_id"])))
     names = docs.columns
-    rows = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs["text"].alias("text"))
-    out = predict(rows, model, keep=tuple(f"_c{i}" for i in range(len(names))))
-    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+    rows = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs["lang"].alias("_claim"), docs["text"].alias("text"))
+    out = predict(rows, model, keep=(*[f"_c{i}" for i in range(len(names))], "_claim"))
+    other = F.coalesce(F.col("_claim") != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= sure)
+    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least) & ~other).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
