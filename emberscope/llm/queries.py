@@ -90,28 +90,46 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
-    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-OP5_SQL = f"""
+def _fitted(level: str, rows: str, n: str, bad: str, rate: str) -> str:
+    """A level's concentration, by moments."""
+    return f"""{level} AS (SELECT CASE WHEN e > 0 AND v > 0 THEN least(1000.0::DOUBLE, greatest(1.0::DOUBLE, v / e - 1)) ELSE 1000.0::DOUBLE END AS k FROM (
+    SELECT sum(({bad} - {n} * {rate}) * ({bad} - {n} * {rate}) - {n} * {rate} * (1 - {rate})) AS e, sum(({n} - 1) * {n} * {rate} * (1 - {rate})) AS v FROM {rows}))"""
+
+
+# The verdict asks whether at most 5 % of the host's posterior lie up to 0.5; the integral is over the logit of the rate.
+OP5_SQL = rf"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}'), '') AS host,
-    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-r AS (SELECT *, CASE
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    len(regexp_extract_all(regexp_replace(html, '{url_filter.MARKUP}', ' ', 'g'), '[^\x20\x09-\x0D]+')) < 50 AS thin FROM pages),
+r AS (SELECT *, CASE WHEN len(list_intersect(regexp_split_to_array(host, '[^a-z0-9]+'), {list(url_filter.NAMES)})) > 0 THEN true ELSE thin END AS outcome, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p),
-h AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
-    count(rule)::DOUBLE AS n, count(*) FILTER (rule IN ('net/', 'example.com/de/'))::DOUBLE AS bad FROM r GROUP BY 1),
-d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
-s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
-s2 AS (SELECT suffix, (bad + 20.0::DOUBLE * (sum(bad) OVER () + 1) / (sum(n) OVER () + 2)) / (n + 20.0::DOUBLE) AS rate FROM s),
-d2 AS (SELECT domain, (d.bad + 20.0::DOUBLE * rate) / (d.n + 20.0::DOUBLE) AS rate FROM d JOIN s2 USING (suffix)),
-b AS (SELECT host, bad + 20.0::DOUBLE * rate AS a, n - bad + 20.0::DOUBLE * (1 - rate) AS b FROM h JOIN d2 USING (domain)),
-v AS (SELECT host, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM b)
+n AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, count(outcome)::DOUBLE AS n, count(*) FILTER (outcome)::DOUBLE AS bad FROM r GROUP BY 1),
+h AS (SELECT host, n, bad, CASE WHEN regexp_matches(name, '^(\[.*|[0-9]+(\.[0-9]+){{3}})$') THEN name
+    WHEN regexp_matches(name, '(^|\.)({'|'.join(url_filter.SECOND)})\.[a-z][a-z]$') THEN regexp_extract(name, '([^.]*\.)?[^.]*\.[^.]*$') ELSE regexp_extract(name, '([^.]*\.)?[^.]*$') END AS domain,
+    CASE WHEN regexp_matches(name, '^(\[.*|[0-9]+(\.[0-9]+){{3}})$') THEN name
+    WHEN regexp_matches(name, '(^|\.)({'|'.join(url_filter.SECOND)})\.[a-z][a-z]$') THEN regexp_extract(name, '[^.]*\.[^.]*$') ELSE regexp_extract(name, '[^.]*$') END AS suffix FROM n),
+d AS (SELECT domain, suffix, sum(n) AS n_d, sum(bad) AS bad_d FROM h GROUP BY 1, 2),
+s AS (SELECT suffix, sum(n_d) AS n_s, sum(bad_d) AS bad_s FROM d GROUP BY 1),
+s1 AS (SELECT *, (sum(bad_s) OVER () - bad_s + 1) / (sum(n_s) OVER () - n_s + 2) AS r0 FROM s),
+{_fitted("ks", "s1", "n_s", "bad_s", "r0")},
+d1 AS (SELECT domain, n_d, bad_d, (bad_s - bad_d + k * r0) / (n_s - n_d + k) AS rs FROM d JOIN s1 USING (suffix), ks),
+{_fitted("kd", "d1", "n_d", "bad_d", "rs")},
+h1 AS (SELECT host, n, bad, (bad_d - bad + k * rs) / (n_d - n + k) AS rd FROM h JOIN d1 USING (domain), kd),
+{_fitted("kh", "h1", "n", "bad", "rd")},
+b AS (SELECT host, bad + k * rd AS a, n - bad + k * (1 - rd) AS b FROM h1, kh),
+g AS (SELECT host, a, b, ln(a / b) - greatest(12 * sqrt(1 / a + 1 / b), 40 / a) AS lo, ln(a / b) + greatest(12 * sqrt(1 / a + 1 / b), 40 / b) AS hi FROM b),
+u AS (SELECT host, a, b, ln(a / b) AS m, unnest(list_transform(range(0, 8000), lambda i: lo + (hi - lo) * (i + 0.5) / 8000)) AS u FROM g),
+w AS (SELECT host, u, exp(a * (u - m) - (a + b) * ((CASE WHEN u > 0 THEN u + ln(1 + exp(-u)) ELSE ln(1 + exp(u)) END) - (CASE WHEN m > 0 THEN m + ln(1 + exp(-m)) ELSE ln(1 + exp(m)) END))) AS f FROM u),
+v AS (SELECT host, coalesce(sum(f) FILTER (u <= 0), 0) / sum(f) AS under FROM w GROUP BY 1)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+  WHEN under < 0.05 THEN 'block' ELSE 'allow' END AS verdict
 FROM r JOIN v USING (host)
 """
 
