@@ -101,6 +101,25 @@ def merge(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, spread: str, parts: int = 1000) -> DataFrame:
+    """``rows`` left-joined by ``key`` with the other columns of ``table`` (key, rows: how many rows have the key, ...).
+
+    Keys of more than a ``parts``-th of all rows, so ``parts`` keys at most, are broadcast; among the rest no key is hot.
+    ``spread``: a column of ``rows`` that differs within a key.
+    """
+    total = table.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = F.col("rows") * parts > total
+    names = [c for c in table.columns if c not in (key, "rows")]
+    side = lambda t, mark: t.select(F.col(key).alias(f"_key{mark}"), *[F.col(c).alias(f"_{c}{mark}") for c in names])
+    out = rows.join(F.broadcast(side(table.filter(hot), 0)), F.col(key) == F.col("_key0"), "left")
+    # Rows that are served are dealt over keys that match nothing: they have a second part.
+    none, own = F.struct(F.xxhash64(spread).alias("h"), F.lit(None).cast(table.schema[key].dataType).alias("k")), F.struct(F.lit(0).cast("long").alias("h"), F.col(key).alias("k"))
+    out = out.withColumn("_at", F.when(F.col("_key0").isNotNull(), none).otherwise(own))
+    cold = side(table.filter(~hot), 1).withColumn("_to", F.struct(F.lit(0).cast("long").alias("h"), F.col("_key1").alias("k")))
+    out = out.join(merge(cold), F.col("_at") == F.col("_to"), "left")
+    return out.select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"_{c}0", f"_{c}1").alias(c) for c in names])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

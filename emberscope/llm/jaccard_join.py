@@ -1,25 +1,30 @@
-"""Exact Jaccard join of documents' word-shingle sets in their metric space, and its components.
-
-The distance is 1 - Jaccard, a metric; two documents link within ``R = 1 - SIMILAR``.
-
-* **Pivots and regions.**  Documents sampled as pivots don't part a corpus: nearly all documents lie
-  at distance 1 from nearly all others, so every region would hold all.  The pivots that do part
-  it are the one-shingle sets {s}: d(x, {s}) is 1 - 1/|x| if x holds s, else 1.  A document's nearest
-  pivots tie; ties go by a fixed order of shingles, rare ones first.
-* **Replicated boundary.**  If d(x, y) <= R, at most R * |x| of x's shingles are missing from y, so the first
-  shingle they share is among the first ``R * |x| + 1`` of x, and likewise of y.  A document goes to the regions
-  of those shingles, and so every linked pair meets in one.
-* **Within a region** a pair counts only if sizes and places in the order leave enough overlap
-  possible.  Regions of up to ``CELL`` documents yield their pairs.  In larger ones one
-  document becomes the pivot of the next level: all others are compared to it and what lies within R is one component;
-  then only pairs of different components whose distances to that pivot differ by no more than R (triangle inequality) are left.
-* **Bound, then exact.**  Counts of shingles by ``SKETCH`` hash classes give a lower bound of the
-  distance (a weighted Jaccard distance, which merging classes never raises); pairs within R by it are
-  compared by their whole sets of 64-bit shingle hashes.
+"""Exact Jaccard join of documents' word-shingle sets by regions of their metric space, and its components.
+
+The distance is 1 - Jaccard, a metric; two documents link within ``R = 1 - percent / 100``.
+
+* **First regions.**  No document can part a whole corpus: within 1 - 2R of one pivot there are at most 1 / 2R disjoint sets,
+  and nearly all of a corpus' sets are nearly disjoint, so windows of 2R around Voronoi regions of any
+  sampled documents copy nearly every document to nearly every region (README has figures).  So the first pivots are the
+  sets of one shingle: a document goes to those of its ``R * n + 1`` first shingles, rare ones first, as a
+  linked document lacks ``R * n`` of its shingles at most.  This is a prefix filter; sizes and
+  places in the order leave out what can't link.
+* **Large regions.**  A region of over ``LEAF`` documents (near copies, mostly) first has all of them compared to
+  ``STARS`` documents of it; what links makes one component, and later only pairs of different components count.
+* **Voronoi regions.**  What is left of a large region is parted by documents drawn from it as pivots, about ``PIVOTS`` of them.
+  A document's home is its nearest pivot p; it is replicated to every pivot q with
+  d(x, q) <= d(x, p) + 2R, as by the triangle inequality a document linked to x has no other home.  Regions of over ``WIDE`` documents are parted
+  again, with pivots of their own.  Where all lie within the windows of all, so that parting ends, the
+  documents outside the largest component are compared to the region in blocks of ``WIDE``.
+* **Bound, then exact.**  Distances within large regions are those of the documents' counts of shingles by ``SKETCH`` hash
+  classes.  That weighted Jaccard distance is a metric too and never exceeds the documents' own, so windows
+  in it lose nothing.  Pairs within R by it are compared by their whole sets of 64-bit shingle hashes.
 
 The order of shingles takes rare ones first by a table of counts of fixed size (``2**COUNT_BITS``), made
 from all documents.  It only affects speed: the join is exact in any order.
 
+A shingle that many documents hold is no single task's: a task that meets one more than ``LEAF`` times deals the
+rest of its rows over ``SALTS`` keys.  Rows of large regions stream through; ``LEAF`` of them are held, later ``WIDE``.
+
 Equal sets are one node from the start, so copies are never expanded.  A document with fewer words than
 a shingle has one, the whole sequence; null texts and those without words have none and link to
 nothing.  Repeated rows are members like any other; null ids are members but never a component's id.
@@ -31,13 +36,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed, dropped, few_files, merge, swept, tidy
+from emberscope.llm.common import checkpointed, few_files, looked_up, merge, removed, rewritten, swept, tidy
 from emberscope.llm.components import components
 
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT, WORDS = 90, 3
-CELL, SKETCH, COUNT_BITS, CHUNKS = 32, 128, 22, 1024
-R = 1 - PERCENT / 100
+LEAF, STARS, PIVOTS, WIDE, SALTS = 32, 3, 16, 2048, 16
+SKETCH, COUNT_BITS, CHUNKS, HEAVY_BITS, WANTED_BITS = 128, 21, 512, 20, 23
+#: Bytes of text that are hashed together.
+PORTION = 4 << 20
 
 
 class Hashes(dict):
@@ -60,17 +67,45 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; only A-Z and ASCII white space are special, as bytes have it."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))
-    size = min(words, len(w))
-    out = np.full(len(w) - size + 1, size, dtype=np.uint64)
+def portions(texts):
+    """Slices of an Arrow array of texts, of about PORTION bytes."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION)) + 1
+        yield texts.slice(at, upto - at)
+        at = upto
+
+
+def chained(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, from the words' own."""
+    out = np.full(max(len(h) - size + 1, 0), size, dtype=np.uint64)
     for i in range(size):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)])
-    return np.unique(out)
+    return out
+
+
+def shingles(texts, words: int, hashes: Hashes):
+    """For each text of an Arrow array the sorted distinct hashes of its shingles; only A-Z and ASCII white space are special."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for part in portions(texts):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
+        flat = lists.flatten()
+        whole = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+        ends = np.concatenate([[0], np.cumsum(whole)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        coded = flat.filter(pa.array(whole)).dictionary_encode()
+        known = np.fromiter(map(hashes.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+        h = known[coded.indices.to_numpy()] if len(known) else known
+        runs = chained(h, words)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            if b - a >= words:
+                yield np.unique(runs[a : b - words + 1])
+            else:
+                yield chained(h[a:b], b - a) if b > a else h[:0]
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -85,8 +120,8 @@ def counted(words: int):
 
         hashes, counts = Hashes(), np.zeros(1 << COUNT_BITS, dtype=np.uint32)
         for batch in batches:
-            for text in batch.column(0):
-                np.add.at(counts, bucket(shingles(text.as_py(), words, hashes)), np.uint32(1))  # a plain 1 is fifteen times slower
+            for s in shingles(batch.column(0), words, hashes):
+                np.add.at(counts, bucket(s), np.uint32(1))  # a plain 1 is fifteen times slower
         small = np.minimum(counts, 65535).astype("<u2").reshape(CHUNKS, -1)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], ["chunk", "counts"])
@@ -116,16 +151,35 @@ def flagged(mean: float):
     return run
 
 
+def joined_bits(rows, chunks: int, bits: int) -> bytes:
+    """A bit table of fixed size from its (chunk, flags); chunks that are missing are empty."""
+    each = (1 << bits) // chunks // 8
+    out = bytearray(each * chunks)
+    for chunk, flags in zip(*rows.toArrow().to_pydict().values()):
+        out[chunk * each : (chunk + 1) * each] = flags
+    return bytes(out)
+
+
 def frequent(docs: DataFrame, text: str, words: int) -> bytes:
     """Bits of the hash classes that hold a frequent shingle: 2**COUNT_BITS of them for any input."""
     sums = docs.select(docs[text].alias("t")).mapInArrow(tidy(counted(words)), "chunk int, counts binary").groupBy("chunk").applyInArrow(added, "chunk int, counts binary, total bigint")
     sums = checkpointed(few_files(sums))
     mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << COUNT_BITS)
-    each = (1 << COUNT_BITS) // CHUNKS // 8
-    bits = bytearray(each * CHUNKS)
-    for chunk, flags in zip(*sums.select("chunk", "counts").mapInArrow(flagged(mean), "chunk int, flags binary").toArrow().to_pydict().values()):
-        bits[chunk * each : (chunk + 1) * each] = flags
-    return bytes(bits)
+    return joined_bits(sums.select("chunk", "counts").mapInArrow(flagged(mean), "chunk int, flags binary"), CHUNKS, COUNT_BITS)
+
+
+def sketched(s: np.ndarray) -> bytes:
+    """Counts by class in the narrowest of one, two and four bytes that holds them all."""
+    counts = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return counts.astype("<u1" if counts.max(initial=0) < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unsketched(sketches: list[bytes]) -> np.ndarray:
+    """One row of counts for each sketch."""
+    kinds = {SKETCH: "<u1", 2 * SKETCH: "<u2", 4 * SKETCH: "<u4"}
+    if all(len(s) == SKETCH for s in sketches):
+        return np.frombuffer(b"".join(sketches), dtype="<u1").reshape(-1, SKETCH).astype(np.int32)
+    return np.array([np.frombuffer(s, dtype=kinds[len(s)]) for s in sketches], dtype=np.int32).reshape(-1, SKETCH)
 
 
 def signed(words: int, percent: int, hot):
@@ -138,15 +192,14 @@ def signed(words: int, percent: int, hot):
         hashes, flags = Hashes(), np.unpackbits(np.frombuffer(hot.value, dtype=np.uint8)).astype(bool)
         for batch in batches:
             sizes, h1, h2, prefixes, sketches = [], [], [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                s = shingles(text.as_py(), words, hashes)
+            for s in shingles(batch.column(batch.num_columns - 1), words, hashes):
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 common = flags[bucket(s)]
                 sizes.append(len(s))
                 h1.append(int.from_bytes(digest[:8], "big", signed=True))
                 h2.append(int.from_bytes(digest[8:], "big", signed=True))
                 prefixes.append(np.concatenate([s[~common], s[common]])[: len(s) - -(-len(s) * percent // 100) + 1].view(np.int64))
-                sketches.append(np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
+                sketches.append(sketched(s))
             own = [pa.array(sizes, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], "n", "h1", "h2", "prefix", "sketch"])
 
@@ -158,118 +211,207 @@ def needed(n1, n2, percent: int):
     return -(-percent * (n1 + n2) // (100 + percent))
 
 
-def cells(percent: int):
-    """Over Arrow batches of (key, pos, node, n) in that order, a key's rows together: candidate pairs (a, b, cell).
+def able(x: dict, y: dict, percent: int) -> np.ndarray:
+    """Whether sizes and places in the order allow a link: what they share lies from those places on."""
+    return np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) >= needed(x["n"], y["n"], percent)
+
+
+def cut(rows: dict, a, b) -> dict:
+    return {k: v[a:b] for k, v in rows.items()}
+
+
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    change = np.zeros(max(len(keys[0]) - 1, 0), dtype=bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    return np.flatnonzero(np.concatenate([[True], change])) if len(keys[0]) else np.zeros(0, dtype=np.int64)
 
-    ``cell`` is the key of a region of over CELL rows, of which only pairs with its first row, the
-    pivot, are given, and the pivot with itself.  Of such a region only the pivot is held.
+
+PLACED = "key long, salt int, node long, n long, pos long"
+
+
+def placed(batches):
+    """Over Arrow batches of (node, n, prefix): a row for each of the document's first regions.
+
+    Once a task has met a shingle (by its class of 2**HEAVY_BITS) more than LEAF times, it salts what follows and tells the
+    region so by a row with node -1.
     """
+    import pyarrow as pa
 
-    def able(x, y):
-        return np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) >= needed(x["n"], y["n"], percent)
+    met = np.zeros(1 << HEAVY_BITS, dtype=np.int64)
+    for batch in batches:
+        lists = batch.column("prefix")
+        key = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(lists.offsets.to_numpy())
+        node, n = (np.repeat(batch.column(c).to_numpy().astype(np.int64), sizes) for c in ("node", "n"))
+        pos = np.arange(len(key)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        classes = (key & ((1 << HEAVY_BITS) - 1)).astype(np.int64)
+        met += np.bincount(classes, minlength=len(met))
+        heavy = met[classes] > LEAF
+        salt = np.where(heavy, 1 + (mixed(node.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
+        marks = np.unique(key[heavy])
+        none = np.zeros(len(marks), dtype=np.int64)
+        columns = [np.concatenate(c) for c in ((marks, key), (none, salt), (none - 1, node), (none, n), (none, pos))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(columns)], ["key", "salt", "node", "n", "pos"])
 
-    def star(pivot, rows):
-        good = able({k: np.full(len(rows["n"]), pivot[k]) for k in ("n", "pos")}, rows)
-        return np.full(int(good.sum()), pivot["node"]), rows["node"][good], np.full(int(good.sum()), pivot["key"])
 
-    def run(batches):
-        import pyarrow as pa
+REGIONS = "a long, b long, key long, n long, pos long"
 
-        names = ("key", "pos", "node", "n")
-        cut = lambda rows, a, b: {k: v[a:b] for k, v in rows.items()}
-
-        def closed(rows):
-            """Pairs of whole regions."""
-            key = rows["key"]
-            if not len(key):
-                return
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(key)]]))
-            for s, n in zip(starts[sizes > CELL], sizes[sizes > CELL]):
-                pivot = {k: v[s] for k, v in rows.items()}
-                yield np.array([pivot["node"]]), np.array([pivot["node"]]), np.array([pivot["key"]])
-                yield star(pivot, cut(rows, s + 1, s + n))
-            small = np.repeat((sizes > 1) & (sizes <= CELL), sizes)
-            rows = {k: v[small] for k, v in rows.items()}
-            for d in range(1, CELL):
-                x, y = cut(rows, 0, max(len(rows["key"]) - d, 0)), cut(rows, d, None)
-                same = x["key"] == y["key"]
-                if not same.any():
-                    break
-                good = same & able(x, y)
-                yield x["node"][good], y["node"][good], None
-
-        def found():
-            held, pivot = {k: np.zeros(0, dtype=np.int64) for k in names}, None
-            for batch in batches:
-                rows = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
-                if pivot is not None:
-                    own = int(np.searchsorted(rows["key"] != pivot["key"], True))
-                    yield star(pivot, cut(rows, 0, own))
-                    rows = cut(rows, own, None)
-                    if not len(rows["key"]):
-                        continue
-                    pivot = None
-                rows = {k: np.concatenate([held[k], rows[k]]) for k in names}
+
+def regions(percent: int):
+    """Over Arrow batches of PLACED, by key, salt and node, a key's and salt's rows together.
+
+    Gives the pairs (a, b) of small regions and, of large ones, those with the first STARS rows; and the members
+    of large regions as rows (a, null, key, n, pos).
+    """
+    names = ("key", "salt", "node", "n", "pos")
+
+    def stars(pivots, rows):
+        for i in range(len(pivots["node"])):
+            good = able(cut(pivots, i, i + 1), rows, percent) & (rows["node"] > pivots["node"][i])
+            yield np.full(int(good.sum()), pivots["node"][i]), rows["node"][good], None
+
+    def large(rows, pivots):
+        yield from stars(pivots, rows)
+        yield rows["node"], None, rows
+
+    def closed(rows):
+        starts = starts_of(rows["key"], rows["salt"])
+        sizes = np.diff(np.append(starts, len(rows["key"])))
+        marked = rows["node"][starts] < 0
+        wide = (sizes - marked > LEAF) | marked | (rows["salt"][starts] > 0)
+        for s, n, m in zip(starts[wide], sizes[wide], marked[wide]):
+            own = cut(rows, s, s + n)
+            own = {k: v[own["node"] >= 0] for k, v in own.items()} if m else own
+            yield from large(own, cut(own, 0, STARS))
+        small = np.repeat(~wide, sizes)
+        rows = {k: v[small] for k, v in rows.items()}
+        for d in range(1, LEAF):
+            x, y = cut(rows, 0, max(len(rows["key"]) - d, 0)), cut(rows, d, None)
+            same = x["key"] == y["key"]
+            if not same.any():
+                break
+            good = same & able(x, y, percent)
+            yield x["node"][good], y["node"][good], None
+
+    def found(batches):
+        held, open_ = {k: np.zeros(0, dtype=np.int64) for k in names}, None
+        for batch in batches:
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
+            if open_ is not None:  # the rest of a large region
+                other = (rows["key"] != open_["key"][0]) | (rows["salt"] != open_["salt"][0])
+                own = int(other.argmax()) if other.any() else len(other)
+                yield from large(cut(rows, 0, own), open_)
+                rows = cut(rows, own, None)
                 if not len(rows["key"]):
                     continue
-                last = int(np.argmax(rows["key"] == rows["key"][-1]))
-                yield from closed(cut(rows, 0, last))
-                held = cut(rows, last, None)
-                if len(held["key"]) > CELL:
-                    yield from closed(held)
-                    pivot = {k: v[0] for k, v in held.items()}
-                    held = cut(held, 0, 0)
-            yield from closed(held)
-
-        for a, b, cell in found():
+                open_ = None
+            rows = {k: np.concatenate([held[k], rows[k]]) for k in names}
+            starts = starts_of(rows["key"], rows["salt"])
+            if not len(starts):
+                continue
+            yield from closed(cut(rows, 0, starts[-1]))
+            held = cut(rows, starts[-1], None)
+            members = {k: v[held["node"] >= 0] for k, v in held.items()}
+            if len(members["key"]) > LEAF:
+                open_ = cut(members, 0, STARS)
+                yield from large(members, open_)
+                held = cut(held, 0, 0)
+        yield from closed(held)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for a, b, rows in found(batches):
             if len(a):
-                cell = pa.nulls(len(a), pa.int64()) if cell is None else pa.array(cell, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), cell], ["a", "b", "cell"])
+                own = [pa.nulls(len(a), pa.int64())] * 3 if rows is None else [pa.array(rows[k], pa.int64()) for k in ("key", "n", "pos")]
+                b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, *own], ["a", "b", "key", "n", "pos"])
 
     return run
 
 
-def rest_of(percent: int):
-    """Over Arrow batches of (key, node, n, pos, label, d), a key's rows together: pairs (a, b) of a large region that are left.
+def distances(x: np.ndarray, n, y: np.ndarray, m) -> np.ndarray:
+    """Weighted Jaccard distances of counts: one row of x, of sum n, to each of y, of sums m."""
+    apart = np.abs(y - x).sum(axis=1)
+    return 2 * apart / np.maximum(n + m + apart, 1)
 
-    Left are pairs of different labels that sizes, places and the distances to the region's pivot allow.
+
+MEMBER = "region long, own boolean, node long, n long, pos long, label long, sketch binary"
+
+
+def homes(percent: int):
+    """Over Arrow batches of MEMBER with its region's pivots (node, n, sketch): the member with its home's and windows' pivots.
+
+    ``cells``: nodes of the pivots that it goes to, the home first.
     """
 
-    def pairs(rows):
-        order = np.argsort(rows["label"], kind="stable")
-        rows = {k: v[order] for k, v in rows.items()}
-        labels, starts, sizes = np.unique(rows["label"], return_index=True, return_counts=True)
-        largest = int(sizes.argmax())
-        inside = np.zeros(len(order), dtype=bool)
-        inside[starts[largest] : starts[largest] + sizes[largest]] = True
-        for i in np.flatnonzero(~inside):  # pairs within the largest component are never looked at
-            later = inside | (np.arange(len(order)) > i)
-            good = later & (rows["label"] != rows["label"][i])
-            good &= np.minimum(rows["n"] - rows["pos"], rows["n"][i] - rows["pos"][i]) >= needed(rows["n"], rows["n"][i], percent)
-            good &= ~(np.abs(rows["d"] - rows["d"][i]) > 1 - percent / 100 + 1e-9)  # unknown distances are NaN and exclude nothing
-            if good.any():
-                yield np.full(int(good.sum()), rows["node"][i]), rows["node"][good]
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            region = batch.column("region").to_numpy()
+            cells: list = [None] * len(region)
+            n, x = batch.column("n").to_numpy(), unsketched(batch.column("sketch").to_pylist())
+            for one in np.unique(region):
+                at = np.flatnonzero(region == one)
+                pivots = batch.column("pivots")[int(at[0])].as_py()
+                names, sizes = np.array([p["node"] for p in pivots]), np.array([p["n"] for p in pivots])
+                y = unsketched([p["sketch"] for p in pivots])
+                for i in at:
+                    d = distances(x[i], n[i], y, sizes)
+                    order = np.argsort(d, kind="stable")
+                    cells[i] = names[order[d[order] <= d[order[0]] + 2 * (1 - percent / 100) + 1e-9]].tolist()
+            columns = [batch.column(c) for c in ("region", "own", "node", "n", "pos", "label", "sketch")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cells, pa.list_(pa.int64()))], [*MEMBER.replace(",", "").split()[::2], "cells"])
+
+    return run
+
+
+def leaves(percent: int):
+    """Over Arrow batches of MEMBER with ``held``, by region, held rows first, a region's rows together: pairs (a, b).
+
+    Held rows are compared to each other and to the others.  A pair needs an own row, two labels, sizes and places that
+    allow a link, and counts within R.
+    """
+    names = ("region", "held", "own", "node", "n", "pos", "label")
+
+    def against(x, y):
+        """Pairs of a row of x and one of y."""
+        for i in range(len(x["node"])):
+            good = (x["label"][i] != y["label"]) & (x["own"][i] | y["own"]) & able(cut(x, i, i + 1), y, percent)
+            at = np.flatnonzero(good)
+            if len(at):
+                apart = np.abs(y["sketch"][at] - x["sketch"][i]).sum(axis=1)
+                at = at[apart <= x["n"][i] + y["n"][at] - 2 * needed(x["n"][i], y["n"][at], percent)]
+            if len(at):
+                yield np.full(len(at), x["node"][i]), y["node"][at]
+
+    def found(batches):
+        held = None
+        for batch in batches:
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            rows["sketch"] = unsketched(batch.column("sketch").to_pylist())
+            starts = starts_of(rows["region"])
+            for s, e in zip(starts, np.append(starts[1:], len(rows["region"]))):
+                own = cut(rows, s, e)
+                if held is None or held["region"][0] != own["region"][0]:
+                    held = cut(own, 0, 0)
+                kept = int(own["held"].sum())
+                new, others = cut(own, 0, kept), cut(own, kept, None)
+                yield from against(new, held)
+                for i in range(kept):
+                    yield from against(cut(new, i, i + 1), cut(new, i + 1, None))
+                held = {k: np.concatenate([held[k], new[k]]) for k in new} if kept else held
+                yield from against(others, held)
+                if not len(held["region"]):
+                    held = None
 
     def run(batches):
         import pyarrow as pa
 
-        names, held = ("key", "node", "n", "pos", "label", "d"), None
-
-        def found():
-            nonlocal held
-            for batch in batches:
-                rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-                rows = rows if held is None else {k: np.concatenate([held[k], rows[k]]) for k in names}
-                if len(rows["key"]):
-                    starts = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
-                    for s, e in zip(starts[:-1], starts[1:]):
-                        yield from pairs({k: v[s:e] for k, v in rows.items()})
-                    held = {k: v[starts[-1] :] for k, v in rows.items()}
-            if held is not None and len(held["key"]):
-                yield from pairs(held)
-
-        for a, b in found():
+        for a, b in found(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
     return run
@@ -279,21 +421,50 @@ def possible(percent: int):
     """Over Arrow batches of (a, b, n_a, n_b, sketch_a, sketch_b): the pairs that the sketches' bound allows."""
 
     def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+                x, y = (unsketched(batch.column(c).to_pylist()) for c in ("sketch_a", "sketch_b"))
                 n = sum(batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
                 # |x - y| has n - 2 * intersection elements, and the sketches differ by no more.
                 good = np.abs(x - y).sum(axis=1) <= n - 2 * needed(n, 0, percent)
-                yield batch.filter(_mask(good)).select(["a", "b", "n_a", "n_b"])
+                yield batch.filter(pa.array(good)).select(["a", "b", "n_a", "n_b"])
 
     return run
 
 
-def _mask(good: np.ndarray):
+def marked(batches):
+    """Over Arrow batches of hashes: (chunk, flags) of this task's classes of them, a bit each."""
+    import pyarrow as pa
+
+    flags = np.zeros(1 << WANTED_BITS, dtype=bool)
+    for batch in batches:
+        flags[batch.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)] = True
+    if flags.any():
+        chunks = np.packbits(flags).reshape(CHUNKS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], ["chunk", "flags"])
+
+
+def any_of(table):
+    """One chunk's flags of all tasks."""
     import pyarrow as pa
 
-    return pa.array(good)
+    flags = np.bitwise_or.reduce([np.frombuffer(c.as_py(), dtype=np.uint8) for c in table.column("flags")])
+    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "flags": pa.array([flags.tobytes()], pa.binary())})
+
+
+def wanted(bits):
+    """Over Arrow batches of (hash, ...): the rows whose hash class is flagged."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        flags = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8)).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(flags[batch.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)]))
+
+    return run
 
 
 def sets_of(words: int):
@@ -306,8 +477,8 @@ def sets_of(words: int):
         hashes = Hashes()
         for batch in batches:
             nodes, sets = [], []
-            for node, h1, h2, text in zip(*[c.to_pylist() for c in batch.columns]):
-                s = shingles(text, words, hashes).tobytes()
+            for node, h1, h2, s in zip(*[c.to_pylist() for c in batch.columns[:3]], shingles(batch.column(3), words, hashes)):
+                s = s.tobytes()
                 if xxhash.xxh3_128_digest(s) == h1.to_bytes(8, "big", signed=True) + h2.to_bytes(8, "big", signed=True):
                     nodes.append(node)
                     sets.append(s)
@@ -317,7 +488,7 @@ def sets_of(words: int):
 
 
 def compared(batches):
-    """Over Arrow batches of (a, b, x, y): (a, b, both), the size of the intersection of sets x and y."""
+    """Over Arrow batches of (a, b, n_a, n_b, x, y): (a, b, n_a, n_b, both), the size of the intersection of sets x and y."""
     import pyarrow as pa
 
     for batch in batches:
@@ -326,84 +497,139 @@ def compared(batches):
             x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
             at = np.minimum(np.searchsorted(x, y), len(x) - 1)
             both.append(int((x[at] == y).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], ["a", "b", "both"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.int64())], [*batch.schema.names[:4], "both"])
 
 
 class Join:
     """One join's tables: every row's signature, the distinct sets, and their links as they are found."""
 
     def __init__(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = WORDS, percent: int = PERCENT):
-        self.words, self.percent, self.keep = words, percent, keep
-        self.docs = docs.select(docs["doc_id"].alias("_id"), docs[text].alias("_text"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
-        hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, words))
-        rows = self.docs.select("_id", *[f"_k{i}" for i in range(len(keep))], "_text")
+        self.words, self.percent, self.keep, self.spark = words, percent, keep, docs.sparkSession
+        # _h finds a row's text again: of equal rows any one will do.
+        self.docs = docs.select(docs["doc_id"].alias("_id"), docs[text].alias("_text"), F.xxhash64(docs["doc_id"], docs[text]).alias("_h"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
+        hot = self.spark.sparkContext.broadcast(frequent(docs, text, words))
+        rows = self.docs.select("_id", "_h", *[f"_k{i}" for i in range(len(keep))], "_text")
         kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
         rows = rows.mapInArrow(tidy(signed(words, percent, hot)), f"{kinds}n int, h1 long, h2 long, prefix array<long>, sketch binary")
-        whole = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
-        digest = ["n", "h1", "h2"]
-        sets = whole.filter("n > 0").groupBy(*digest).agg(F.min("_row").alias("node"), F.min("_id").alias("least"))
-        sets = sets.select("node", "least", *[F.col(c).alias(f"s_{c}") for c in digest])
-        self.sets = checkpointed(sets.join(merge(whole.select("_row", "_id", "prefix", "sketch")), F.col("node") == F.col("_row")).drop("_row"))
-        self.rows = checkpointed(whole.drop("prefix", "sketch"))
-        dropped(whole)
-        swept(docs.sparkSession)
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, d) for the pairs that the sketches allow, by their whole sets."""
-        spark = self.docs.sparkSession
+        self.rows, _ = rewritten(rows.withColumn("_row", F.monotonically_increasing_id()), few=False)
+        sets = self.rows.filter("n > 0").groupBy("n", "h1", "h2").agg(
+            F.min("_row").alias("node"), F.min_by("_h", "_row").alias("_h"), F.min("_id").alias("least"), F.count("*").alias("rows"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        self.sets, _ = rewritten(sets.select("node", "_h", "least", "rows", "prefix", "sketch", *[F.col(c).alias(f"s_{c}") for c in ("n", "h1", "h2")]))
+        swept(self.spark)
+
+    def sets_for(self, pairs: DataFrame) -> DataFrame:
+        """(node, set) of the nodes of ``pairs``; a table of fixed size tells most other texts apart before they are shuffled."""
+        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        active, at = rewritten(self.sets.select("node", "s_h1", "s_h2", "_h").join(merge(nodes), "node").withColumnRenamed("_h", "_of"))
+        flags = active.select("_of").mapInArrow(tidy(marked), "chunk int, flags binary").groupBy("chunk").applyInArrow(any_of, "chunk int, flags binary")
+        bits = self.spark.sparkContext.broadcast(joined_bits(flags, CHUNKS, WANTED_BITS))
+        texts = self.docs.select("_h", "_text").mapInArrow(tidy(wanted(bits)), "_h long, _text string")
+        texts = texts.join(merge(active), F.col("_h") == F.col("_of")).select("node", "s_h1", "s_h2", "_text")
+        sets, _ = rewritten(texts.mapInArrow(tidy(sets_of(self.words)), "node long, set binary").dropDuplicates(["node"]))
+        removed(self.spark, at)
+        swept(self.spark)
+        return sets
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link: those that the sketches allow, by their whole sets."""
         side = lambda s: self.sets.select(F.col("node").alias(f"node_{s}"), F.col("s_n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         pairs = pairs.join(merge(side("a")), F.col("a") == F.col("node_a")).join(merge(side("b")), F.col("b") == F.col("node_b"))
-        pairs = checkpointed(few_files(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(possible(self.percent)), "a long, b long, n_a int, n_b int")))
-        swept(spark)
-        active = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        active = self.sets.select("node", "_id", "s_h1", "s_h2").join(merge(active), "node").withColumnRenamed("_id", "_of")
-        texts = self.docs.select("_id", "_text").join(merge(active), F.col("_id").eqNullSafe(F.col("_of"))).select("node", "s_h1", "s_h2", "_text")
-        sets = checkpointed(few_files(texts.mapInArrow(tidy(sets_of(self.words)), "node long, set binary").dropDuplicates(["node"])))
-        swept(spark)
+        pairs, at = rewritten(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(possible(self.percent)), "a long, b long, n_a int, n_b int"))
+        swept(self.spark)
+        sets = self.sets_for(pairs)
         both = pairs.join(merge(sets.select(F.col("node").alias("node_a"), F.col("set").alias("x"))), F.col("a") == F.col("node_a"))
         both = both.join(merge(sets.select(F.col("node").alias("node_b"), F.col("set").alias("y"))), F.col("b") == F.col("node_b"))
-        sizes = both.select("a", "b", "x", "y").mapInArrow(tidy(compared), "a long, b long, both long")
-        out = sizes.join(merge(pairs), ["a", "b"])
+        sizes = both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(tidy(compared), "a long, b long, n_a int, n_b int, both long")
         union = F.col("n_a") + F.col("n_b") - F.col("both")
-        out = checkpointed(few_files(out.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= self.percent * union).alias("linked"))))
-        dropped(sets)
-        dropped(pairs)
-        swept(spark)
+        out, _ = rewritten(sizes.filter(100 * F.col("both") >= self.percent * union).select("a", "b"))
+        removed(self.spark, at)
+        swept(self.spark)
         return out
 
     def labels(self) -> DataFrame:
         """(node, label) of the sets that link to another one."""
-        spread = self.sets.select("node", F.col("s_n").alias("n"), F.posexplode("prefix").alias("pos", "key")).select("key", "pos", "node", "n")
-        found = spread.repartition("key").sortWithinPartitions("key", "pos", "node").mapInArrow(tidy(cells(self.percent)), "a long, b long, cell long")
-        found = checkpointed(few_files(found.distinct()))
-        swept(self.docs.sparkSession)
-        first = self.verified(found.filter("a <> b").select("a", "b").distinct())
-        links = first.filter("linked").select("a", "b")
+        spread = self.sets.select("node", F.col("s_n").cast("long").alias("n"), "prefix").mapInArrow(tidy(placed), PLACED)
+        found, at = rewritten(spread.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(tidy(regions(self.percent)), REGIONS))
+        swept(self.spark)
+        pairs, _ = rewritten(found.filter("b is not null").select("a", "b").distinct())
+        links = self.linked(pairs)
         labels = components(links)
-        pivots = found.filter("a = b").select(F.col("cell").alias("_cell"), F.col("a").alias("_pivot"))
-        # Regions of over CELL documents: whatever of them isn't one component yet.
-        own = spread.join(merge(pivots), F.col("key") == F.col("_cell")).join(merge(labels), "node", "left")
-        own = own.withColumn("label", F.coalesce("label", "node"))
-        known = first.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d")
-        own = own.join(merge(known), (F.least("node", "_pivot") == F.col("_a")) & (F.greatest("node", "_pivot") == F.col("_b")), "left")
-        own = own.select("key", "node", "n", "pos", "label", F.when(F.col("node") == F.col("_pivot"), 0.0).otherwise(F.coalesce("d", F.lit(float("nan")))).alias("d"))
-        own = own.withColumns({"n": F.col("n").cast("long"), "pos": F.col("pos").cast("long")})
-        left = own.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(rest_of(self.percent)), "a long, b long")
-        left = checkpointed(few_files(left.distinct().join(merge(first.select("a", "b")), ["a", "b"], "left_anti")))
-        swept(self.docs.sparkSession)
-        if left.isEmpty():
+        left = self.left_over(found.filter("b is null").select(F.col("key").alias("region"), F.col("a").alias("node"), "n", "pos"), labels)
+        removed(self.spark, at)
+        if left is None:
             return labels
-        second = self.verified(left).filter("linked").select("a", "b")
-        return labels if second.isEmpty() else components(links.unionAll(second))
+        more = self.linked(left.join(merge(pairs), ["a", "b"], "left_anti"))
+        return labels if more.isEmpty() else components(links.unionAll(more))
+
+    def left_over(self, members: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Pairs (a, b) of different labels within large regions (region, node, n, pos) that may link; None if there are none to look at."""
+        at = members.join(merge(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = at.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo < hi")
+        several, _ = rewritten(several.select("region", "rows", F.lit(True).alias("open")))
+        if several.isEmpty():
+            return None
+        at = looked_up(at, "region", several, "node").filter("open").drop("open")
+        sketches = self.sets.select(F.col("node").alias("_n"), "sketch")
+        table, path = rewritten(at.join(merge(sketches), F.col("node") == F.col("_n")).select("region", F.lit(True).alias("own"), "node", "n", "pos", "label", "sketch"))
+        swept(self.spark)
+        found = []
+        while True:
+            sizes, _ = rewritten(table.groupBy("region").agg(F.count("*").alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi"))
+            small = looked_up(table, "region", sizes.select("region", "rows", (F.col("rows") <= WIDE).alias("small")), "node")
+            found.append(self.leaf_pairs(small.filter("small").withColumn("held", F.lit(True)).drop("small")))
+            large = sizes.filter(F.col("rows") > WIDE)
+            if large.isEmpty():
+                break
+            table, path = self.parted(looked_up(table, "region", large.select("region", "rows", F.col("rows").alias("size")), "node").filter("size is not null"), large, found), path
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionAll(more)
+        return out.distinct()
+
+    def leaf_pairs(self, rows: DataFrame) -> DataFrame:
+        kept = rows.select("region", "held", "own", "node", "n", "pos", "label", "sketch")
+        pairs, _ = rewritten(kept.repartition("region").sortWithinPartitions("region", F.desc("held")).mapInArrow(tidy(leaves(self.percent)), "a long, b long").distinct())
+        swept(self.spark)
+        return pairs
+
+    def parted(self, table: DataFrame, large: DataFrame, found: list[DataFrame]) -> DataFrame:
+        """MEMBER rows of the Voronoi regions of ``table`` (MEMBER and its region's ``size``); pairs of regions that don't part go to ``found``."""
+        # A pivot by a share of the hashes, and the least hash so that there is one.
+        h = F.xxhash64("region", "node")
+        drawn = F.abs(h % 1_000_000) * F.col("size") < PIVOTS * 1_000_000
+        one = F.struct("node", "n", "sketch")
+        pivots = table.filter("own").groupBy("region").agg(F.min_by(one, h).alias("first"), F.collect_list(F.when(drawn, one)).alias("drawn"), F.count("*").alias("rows"))
+        pivots = pivots.select("region", "rows", F.array_distinct(F.concat(F.array("first"), "drawn")).alias("pivots"))
+        pivots, _ = rewritten(pivots)
+        members = looked_up(table, "region", pivots, "node", 100).filter("pivots is not null")
+        names = MEMBER.replace(",", "").split()[::2]
+        at, _ = rewritten(members.select(*names, "pivots").mapInArrow(tidy(homes(self.percent)), f"{MEMBER}, cells array<long>"))
+        cells = at.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count("*").alias("n"))
+        cells = cells.groupBy("region").agg(F.max("n").alias("most"), F.sum("n").alias("copies"))
+        state = large.select("region", F.col("rows").alias("size")).join(merge(cells), "region")
+        state, _ = rewritten(state.withColumn("parts", (F.col("most") <= 0.8 * F.col("size")) & (F.col("copies") <= 4 * F.col("size"))))
+        best = at.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", "count").alias("largest"))
+        state, _ = rewritten(state.join(merge(best), "region").select("region", F.col("size").alias("rows"), "parts", "largest"))
+        at = looked_up(at, "region", state.withColumn("blocks", F.ceil(F.col("rows") / WIDE)), "node")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        among = F.when(F.col("label") == F.col("largest"), F.array(block)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        dense = at.filter("not parts").withColumn("block", F.explode(among)).withColumn("held", F.col("block") == block)
+        found.append(self.leaf_pairs(dense.withColumn("region", F.xxhash64("region", "block"))))
+        own = F.col("own") & (F.col("cell") == F.col("cells")[0])
+        children = at.filter("parts").withColumn("cell", F.explode("cells")).select(F.xxhash64("region", "cell").alias("region"), own.alias("own"), "node", "n", "pos", "label", "sketch")
+        out, _ = rewritten(children)
+        swept(self.spark)
+        return out
 
     def result(self) -> DataFrame:
-        """``keep``, n_shingles, component_id (smallest id of the component) and stays (one row of each component)."""
+        """``keep``, n_shingles, component_id (smallest id of the component), and of each row its id, number and component's label."""
         labels = self.labels().select(F.col("node").alias("_node"), "label")
-        sets = self.sets.select("node", "least", "s_n", "s_h1", "s_h2").join(merge(labels), F.col("node") == F.col("_node"), "left")
+        sets = self.sets.select("node", "least", "rows", "s_n", "s_h1", "s_h2").join(merge(labels), F.col("node") == F.col("_node"), "left")
         sets = sets.withColumn("label", F.coalesce("label", "node"))
         ids = sets.groupBy(F.col("label").alias("_label")).agg(F.min("least").alias("component_id"))
-        sets = sets.join(merge(ids), F.col("label") == F.col("_label")).select("s_n", "s_h1", "s_h2", "component_id", F.col("label"))
-        out = self.rows.join(merge(sets), (F.col("n") == F.col("s_n")) & (F.col("h1") == F.col("s_h1")) & (F.col("h2") == F.col("s_h2")), "left")
+        digest = lambda *of: F.concat_ws(":", *of)
+        sets, _ = rewritten(sets.join(merge(ids), F.col("label") == F.col("_label")).select(digest("s_n", "s_h1", "s_h2").alias("_set"), "rows", "component_id", "label"))
+        out = looked_up(self.rows.drop("prefix", "sketch").withColumn("_set", digest("n", "h1", "h2")), "_set", sets, "_row")
         names = [F.col(f"_k{i}").alias(c) for i, c in enumerate(self.keep)]
         component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
         return out.select(*names, F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "_id", "_row", F.when(F.col("n") > 0, F.col("label")).alias("_label"))
@@ -414,16 +640,18 @@ def join(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     return Join(docs, text, keep, words, percent).result().select(*keep, "n_shingles", "component_id")
 
 
-def identity(docs: DataFrame, text: str = "text") -> Column:
-    return F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs[text], F.lit(""))))
+def identity(docs: DataFrame) -> Column:
+    """A digest of the whole row."""
+    own = [docs[c].cast("string") for c in docs.columns]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in own]))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; rows without shingles all stay."""
+    """``docs`` with one row of each component, that of the smallest id (then the least digest of the row); rows without shingles all stay."""
     names = docs.columns
-    keyed = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], identity(docs, text).alias("_key"))
-    found = Join(docs.select("doc_id", docs[text].alias("_t"), identity(docs, text).alias("_key")), "_t", ("_key",), words, percent).result()
-    first = F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_key").alias("key"))
+    keyed = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], identity(docs).alias("_key"))
+    found = Join(docs.select("doc_id", docs[text].alias("_t"), identity(docs).alias("_key")), "_t", ("_key",), words, percent).result()
+    first = F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.col("_key").alias("key"))
     kept = found.filter("_label is not null").groupBy("_label").agg(F.min(first).alias("f")).select(F.col("f.key").alias("_kept"), F.lit(True).alias("_one"))
     bare = found.filter("_label is null").select(F.col("_key").alias("_kept"), F.lit(False).alias("_one")).distinct()
     stays = keyed.join(merge(kept.unionAll(bare)), F.col("_key") == F.col("_kept"))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import UPPER, checkpointed, merge, tidy
+from emberscope.llm.common import UPPER, checkpointed, looked_up, merge, tidy
 
 LOWER, LIMIT, PARTS = 0.05, 0.5, 1000
 #: Least and largest concentration: pages that a prior is worth.
@@ -103,24 +103,6 @@ def domain_of(host: Column) -> Column:
     return F.when(suffix == name, name).when(labels == 3, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, spread: str) -> DataFrame:
-    """``rows`` with the other columns of ``table`` (key, rows: how many have the key, ...); keys of many rows are broadcast.
-
-    Column ``spread`` of ``rows`` differs within a key.
-    """
-    total = table.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    hot = F.col("rows") * PARTS > total
-    names = [c for c in table.columns if c not in (key, "rows")]
-    side = lambda t, mark: t.select(F.col(key).alias(f"_key{mark}"), *[F.col(c).alias(f"_{c}{mark}") for c in names])
-    # PARTS rows at most: each has over a PARTS-th of all.
-    out = rows.join(F.broadcast(side(table.filter(hot), 0)), F.col(key) == F.col("_key0"), "left")
-    # Rows that are served are dealt over keys that match nothing.
-    none = F.concat(F.lit(" "), F.pmod(F.xxhash64(spread), F.lit(4096)).cast("string"))
-    out = out.withColumn("_at", F.when(F.col("_key0").isNotNull(), none).otherwise(F.col(key)))
-    out = out.join(merge(side(table.filter(~hot), 1)), F.col("_at") == F.col("_key1"), "left")
-    return out.select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"_{c}0", f"_{c}1").alias(c) for c in names])
-
-
 def concentration(rows: DataFrame, n: str, bad: str, rate: str) -> float:
     """How many pages a level's prior is worth: of rows with counts and the rates expected of them.
 
@@ -146,12 +128,12 @@ def reputation(hosts: DataFrame) -> DataFrame:
 
     s = suffixes.withColumn("rate_0", (F.lit(all_bad) - F.col("bad_s") + 1) / (F.lit(all_n) - F.col("n_s") + 2))
     k_s = concentration(s, "n_s", "bad_s", "rate_0")
-    d = looked_up(domains.drop("rows"), "suffix", s, "domain")
+    d = looked_up(domains.drop("rows"), "suffix", s, "domain", PARTS)
     d = checkpointed(d.withColumn("rate_s", shrunk("n_s", "bad_s", "n_d", "bad_d", k_s, "rate_0")))
     k_d = concentration(d, "n_d", "bad_d", "rate_s")
     sizes = h.groupBy("domain").agg(F.count("*").alias("rows"))
     d = sizes.join(merge(d.select(F.col("domain").alias("_d"), "n_d", "bad_d", "rate_s")), F.col("domain") == F.col("_d")).drop("_d")
-    h = looked_up(h.drop("rows"), "domain", d, "host")
+    h = looked_up(h.drop("rows"), "domain", d, "host", PARTS)
     h = checkpointed(h.withColumn("rate_d", shrunk("n_d", "bad_d", "n", "bad", k_d, "rate_s")))
     k_h = concentration(h, "n", "bad", "rate_d")
     return h.select("host", (F.col("bad") + k_h * F.col("rate_d")).alias("alpha"), (F.col("n") - F.col("bad") + k_h * (1 - F.col("rate_d"))).alias("beta"))
@@ -196,7 +178,7 @@ def judge(pages: DataFrame, url: str = "url", outcome: Column | None = None, rul
     at = pages.select(*[pages[c].alias(f"_c{i}") for i, c in enumerate(names)], pages[url].alias("_url"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
     at = at.withColumn("rule", name).withColumn("_verdict", verdict).withColumn("_row", F.monotonically_increasing_id())
-    out = looked_up(at, "host", bounds, "_row")
+    out = looked_up(at, "host", bounds, "_row", PARTS)
     verdict = F.coalesce("_verdict", F.when(F.col("bound") > LIMIT, "block").otherwise("allow"))
     bound = F.when(F.col("_verdict").isNull(), F.col("bound"))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "host", "path", "rule", verdict.alias("verdict"), bound.alias("bound"))

@@ -220,10 +220,11 @@ def test_jaccard_components(spark, corpus):
     assert sum(got.values()) == sum(alone.values()) + len(groups) and {d for d, t in got - alone} == groups
 
 
-@pytest.mark.parametrize("cell", [2, 32])
-def test_jaccard_in_large_regions(spark, monkeypatch, cell):
+@pytest.mark.parametrize("limits", [dict(LEAF=2, STARS=1, WIDE=6, PIVOTS=3), dict(LEAF=3, STARS=2, WIDE=20, PIVOTS=8), {}])
+def test_jaccard_in_large_regions(spark, monkeypatch, limits):
     """Chains and balls of near copies around several centres, with regions that must be split."""
-    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     rng, docs = random.Random(11), []
     for c in range(3):
         base = words(rng, 90, 60).split()
