@@ -2,10 +2,12 @@
 
 Main path: SQL functions alone.  Words are runs of non-ASCII characters, digits and a-z after
 A-Z are lower-cased.  A gram is ``SIZE`` consecutive words of a benchmark item; an item of fewer
-words, but not none, is one gram.  Up to ``SET_MAX`` grams go to the executors as hash sets (hashes
-and texts, a few MB) inside the scan: a window whose hash is in the set is compared as text, so a
-hash collision is no hit.  More grams than that are never broadcast: then the windows' MD5 digests
-are joined to those of the grams.
+words, but not none, is one gram.  Every window is probed by the hash of three of its words (first, middle,
+last) alone; only where a gram has that hash is the window put together.  Up to ``SET_MAX`` grams of
+``SET_BYTES`` go to the executors as sets of probe hashes and texts inside the scan, and a probed window is
+compared as text, so a hash collision is no hit.  More grams than that are never broadcast: the probe
+is then a table of ``2**PROBE_BITS`` bits, of fixed size, and only windows that it lets through leave
+the scan, to be joined to the grams as text.
 
 Null and empty texts have no words and no hits; null or empty items have no grams.  Repeated rows
 each give their own result; repeated items count once.  Null item ids don't count as items.
@@ -13,12 +15,14 @@ each give their own result; repeated items count once.  Null item ids don't coun
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberscope.llm.common import ascii_lower, checkpointed, few_files, first_only, let
 
-SIZE, SET_MAX = 13, 100_000
+SIZE, SET_MAX, SET_BYTES, PROBE_BITS = 13, 100_000, 16 << 20, 23
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -38,30 +42,58 @@ def item_grams(benchmark: DataFrame, item: str = "item_id", text: str = "text",
     return w.select("item", "n", F.explode(F.transform(starts, lambda i: F.array_join(F.slice(w.w, i, w.n), " "))).alias("gram")).distinct()
 
 
-def gram_set(grams: DataFrame) -> list[tuple[int, str, int]] | None:
-    """The distinct (n, gram, hash) of a benchmark, None if they are more than SET_MAX."""
-    distinct = grams.select("n", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
-    rows = distinct.limit(SET_MAX + 1).collect()
-    return None if len(rows) > SET_MAX else sorted((r.n, r.gram, r.h) for r in rows)
-
-
-def hits_in(w: Column, grams: list[tuple[int, str, int]]) -> Column:
-    """Array of (at, n, gram): the windows of words ``w`` that are in the set of grams."""
-    found = [F.lit([]).cast("array<struct<at:int,n:int,gram:string>>")]
-    for n in sorted({g[0] for g in grams}):
-        hashes, texts = [g[2] for g in grams if g[0] == n], [g[1] for g in grams if g[0] == n]
-
-        found.append(windows_where(w, n, hashes, texts))
-    return F.concat(*found)
-
-
-def starts(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.lit([]).cast("array<int>"))
-
-
-def windows_where(w: Column, n: int, hashes: list[int], texts: list[str]) -> Column:
-    at = F.filter(starts(w, n), lambda i: F.xxhash64(gram(w, i, n)).isin(hashes) & F.array_join(gram(w, i, n), " ").isin(texts))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(gram(w, i, n), " ").alias("gram")))
+def probe(w: Column, at, n: int) -> Column:
+    """A hash of the first, middle and last of the n words from place ``at``, counted from 0."""
+    return F.xxhash64(F.lit(n), *[F.get(w, at + i) for i in sorted({0, n // 2, n - 1})])
+
+
+class Lookup:
+    """What the scan asks of a benchmark: its grams themselves, or, of more than may be broadcast, a table of bits."""
+
+    def __init__(self, grams: DataFrame):
+        distinct = grams.select("n", "gram").distinct()
+        self.sizes = sorted(r.n for r in distinct.select("n").distinct().collect())  # SIZE of them at most
+        count, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0))).first()
+        hashed = [distinct.filter(F.col("n") == n).select("n", "gram", probe(F.split("gram", " "), F.lit(0), n).alias("h")) for n in self.sizes]
+        self.exact = count <= SET_MAX and size <= SET_BYTES
+        if self.exact:
+            self.sets = {n: sorted((r.h, r.gram) for r in rows.collect()) for n, rows in zip(self.sizes, hashed)}
+        else:
+            all_hashes = hashed[0]
+            for more in hashed[1:]:
+                all_hashes = all_hashes.unionAll(more)
+            self.bits = self._table(all_hashes)
+
+    @staticmethod
+    def _place(h: Column) -> tuple[Column, Column]:
+        """Which number of the table, and which bit of it."""
+        bit = F.pmod(h, F.lit(1 << PROBE_BITS))
+        return F.shiftright(bit, 6).cast("int"), (bit % 64).cast("int")
+
+    def _table(self, hashes: DataFrame) -> Column:
+        word, bit = self._place(F.col("h"))
+        rows = hashes.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).collect()
+        table = [0] * (1 << (PROBE_BITS - 6))
+        for r in rows:
+            table[r.word] = r.bits
+        return F.from_json(F.lit(json.dumps(table)), "array<bigint>")  # a constant of the plan
+
+    def has(self, w: Column, i: Column, n: int) -> Column:
+        """Whether the n words from place i (from 1) are a gram, or, with a table of bits, may be one."""
+        h = probe(w, i - 1, n)
+        if self.exact:
+            return h.isin([x[0] for x in self.sets[n]]) & F.array_join(gram(w, i, n), " ").isin([x[1] for x in self.sets[n]])
+        return let(h, lambda h: F.getbit(F.get(self.bits, self._place(h)[0]), self._place(h)[1]) == 1)
+
+    def windows(self, w: Column) -> Column:
+        """Array of (at, n, gram): the windows of words ``w`` that are grams, or may be."""
+
+        def of(n: int) -> Column:
+            starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.lit([]).cast("array<int>"))
+            at = F.filter(starts, lambda i: self.has(w, i, n))
+            return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(gram(w, i, n), " ").alias("gram")))
+
+        return F.concat(F.lit([]).cast("array<struct<at:int,n:int,gram:string>>"), *map(of, self.sizes))
 
 
 def covered(hits: Column) -> Column:
@@ -76,38 +108,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[
     are then joined to the items that hold their grams.
     """
     grams = checkpointed(few_files(item_grams(benchmark, size=size)))
-    known = gram_set(grams)
+    known = Lookup(grams)
     row = F.monotonically_increasing_id().alias("_row")
     names = [f"_k{i}" for i in range(len(keep))]
-    kept = [docs[c].alias(n) for c, n in zip(keep, names)]
-    if known is None:
-        rows, hits = joined(docs.select(row, *kept, words(docs[text]).alias("_w")), grams, names)
-    else:
-        both = lambda w: F.struct(F.size(w).alias("n_words"), hits_in(w, known).alias("hits"))
-        rows = docs.select(row, *kept, let(words(docs[text]), both).alias("_scan"))
-        own = F.array_distinct(F.transform("_scan.hits", lambda h: h["gram"]))
-        rows = checkpointed(rows.select("_row", *names, "_scan.n_words", covered(F.col("_scan.hits")).alias("hit_at"), own.alias("_grams")))
+    both = lambda w: F.struct(F.size(w).alias("n_words"), known.windows(w).alias("hits"))
+    rows = docs.select(row, *[docs[c].alias(n) for c, n in zip(keep, names)], let(words(docs[text]), both).alias("_scan")).select("_row", *names, "_scan.*")
+    if known.exact:
+        own = F.array_distinct(F.transform("hits", lambda h: h["gram"]))
+        rows = checkpointed(rows.select("_row", *names, "n_words", covered(F.col("hits")).alias("hit_at"), own.alias("_grams")))
         hits = rows.filter(F.size("_grams") > 0).select("_row", F.explode("_grams").alias("gram"))
+    else:
+        rows = checkpointed(rows)
+        maybe = rows.filter(F.size("hits") > 0).select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
+        found = checkpointed(maybe.join(grams.select("gram").distinct(), "gram"))
+        by_row = found.groupBy(F.col("_row").alias("_r")).agg(covered(F.collect_set(F.struct("at", "n"))).alias("hit_at"))
+        rows = rows.join(by_row, F.col("_row") == F.col("_r"), "left").select("_row", *names, "n_words", F.coalesce("hit_at", F.lit([]).cast("array<int>")).alias("hit_at"))
+        hits = found.select("_row", "gram").distinct()
     of_item = grams.filter(F.col("item").isNotNull()).select("gram", F.col("item").cast("string").alias("item"))
     items = hits.join(of_item, "gram").select("_row", "item").distinct().groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     out = rows.join(items, "_row", "left")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "hit_at", F.coalesce("items", F.lit([]).cast("array<string>")).alias("items"))
 
 
-def joined(rows: DataFrame, grams: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with hit_at, (_row, gram) of their hits) by a join of digests, for any number of grams."""
-    rows = checkpointed(rows)
-    sizes = sorted(r.n for r in grams.select("n").distinct().collect())  # at most SIZE of them
-    at = lambda n: F.transform(starts(rows._w, n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.md5(F.array_join(gram(rows._w, i, n), " ")).alias("digest")))
-    windows = rows.select("_row", F.explode(F.concat(*[at(n) for n in sizes])).alias("h")).select("_row", "h.*")
-    known = grams.select("gram").distinct().withColumn("digest", F.md5("gram"))
-    found = checkpointed(windows.join(known, "digest").select("_row", "at", "n", "gram"))
-    by_row = found.groupBy(F.col("_row").alias("_r")).agg(covered(F.collect_set(F.struct("at", "n"))).alias("hit_at"))
-    out = rows.join(by_row, F.col("_row") == F.col("_r"), "left")
-    none = F.lit([]).cast("array<int>")
-    return out.select("_row", *keep, F.size("_w").alias("n_words"), F.coalesce("hit_at", none).alias("hit_at")), found.select("_row", "gram").distinct()
-
-
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """The rule: at least a twentieth of the words are hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
@@ -117,10 +139,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, size: int) -> tu
     """(names of the columns of ``docs``, ``docs`` as _c0, _c1, ..., with _text, n_words and hit_at)."""
     names = docs.columns
     rows = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs[text].alias("_text"))
-    grams = checkpointed(few_files(item_grams(benchmark, size=size)))
-    known = gram_set(grams)
-    if known is not None:
-        both = lambda w: F.struct(F.size(w).alias("n_words"), covered(hits_in(w, known)).alias("hit_at"))
+    known = Lookup(checkpointed(few_files(item_grams(benchmark, size=size))))
+    if known.exact:
+        both = lambda w: F.struct(F.size(w).alias("n_words"), covered(known.windows(w)).alias("hit_at"))
         return names, rows.select("*", let(words(F.col("_text")), both).alias("_scan")).select(*rows.columns, "_scan.*")
     # Hits depend on the text alone: each distinct one is scanned once.
     rows = rows.withColumn("_digest", F.md5(F.coalesce("_text", F.lit(""))))
@@ -130,7 +151,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, size: int) -> tu
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated; one pass without a shuffle, up to SET_MAX grams."""
+    """The rows of ``docs`` that aren't contaminated; one pass without a shuffle where the grams are sets of the scan."""
     names, rows = with_hits(docs, benchmark, text, size)
     return rows.filter(~contaminated(F.size("hit_at"), F.col("n_words"))).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
 
