@@ -5,14 +5,17 @@ Base spans (kinds ``assign``, ``access``, ``hex``) are always kept.  Candidates
 that overlap no base span.  Each gets the smallest encoding that holds it (hex, base32 and base36 in
 either case, base62, base64 or its URL form; a UUID's hyphens don't count) and three tests of its
 symbols' values: chi-squared uniformity over the alphabet, runs above and below the middle, and
-lag-one serial correlation, combined by Fisher's method.  A run stays a candidate if that doesn't
-reject randomness at ``REJECT``.
+lag-one serial correlation, combined by Fisher's method into a p-value for "random".
 
-Whether ordinary text could look so is judged by length: character-class transitions, counted over
-all texts, give the probability of the run's classes as text against that under its encoding.
-The ratio is a p-value for "ordinary text" (Markov's inequality) that falls with length.
-Benjamini-Hochberg at ``FDR``, over all candidates of the corpus by length class, decides.  It works
-on a histogram of the p-values (tenths of a power of ten), whose size doesn't depend on the input.
+False discoveries are controlled twice by Benjamini-Hochberg, within length classes, over all candidates of the corpus:
+
+* The battery's p-values: what is rejected at ``REJECT`` isn't random and is dropped, so of what is dropped that
+  share at most is random after all.  A short key has few symbols to fail by; its class has its own level.
+* Whether ordinary text could look so: character-class transitions, counted over all texts, give the
+  probability of the run's classes as text against that under its encoding.  The ratio is a p-value for "ordinary
+  text" (Markov's inequality) that falls with length; what is rejected at ``FDR`` becomes a span.
+
+Both work on histograms of the p-values (tenths of a power of ten), whose size doesn't depend on the input.
 
 Null text is empty and has no spans.  Places are code points, ends exclusive; ties of start go by
 kind as listed.  Repeated rows each give their own result; an empty table gives an empty one.
@@ -27,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed
+from emberscope.llm.common import checkpointed, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 BASE = 3
@@ -111,20 +114,24 @@ def transitions(text: str) -> np.ndarray:
     return np.bincount(c[:-1] * 4 + c[1:], minlength=16)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, list[int]]]:
-    """(start, end, encoding, transitions) of the runs that pass the battery."""
+def tenths(p: float) -> int:
+    """Tenths of -log10 of a p-value, rounded down."""
+    return min(BINS, int(-10 * math.log10(max(p, 1e-300))))
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, list[int]]]:
+    """(start, end, encoding, tenths of the battery's p-value, transitions) of the runs."""
     out = []
     for m in RUN.finditer(text):
         run = symbols(m[0])
         if any(a < m.end() and m.start() < b for a, _, b in base) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
             continue
-        name = encoding(run)
-        if name and battery(run, ENCODINGS[name]) >= REJECT:
-            out.append((m.start(), m.end(), name, transitions(run).tolist()))
+        if name := encoding(run):
+            out.append((m.start(), m.end(), name, tenths(battery(run, ENCODINGS[name])), transitions(run).tolist()))
     return out
 
 
-SCANNED = "base array<struct<start:int,kind:int,end:int>>, runs array<struct<start:int,end:int,encoding:string,pairs:array<long>>>, pairs array<long>"
+SCANNED = "base array<struct<start:int,kind:int,end:int>>, runs array<struct<start:int,end:int,encoding:string,odd:int,pairs:array<long>>>, pairs array<long>"
 
 
 def scan(batches):
@@ -132,7 +139,7 @@ def scan(batches):
     import pyarrow as pa
 
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    run = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("pairs", pa.list_(pa.int64()))])
+    run = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("odd", pa.int32()), ("pairs", pa.list_(pa.int64()))])
     for batch in batches:
         base, runs, pairs = [], [], []
         for t in batch.column(batch.num_columns - 1):
@@ -142,7 +149,7 @@ def scan(batches):
             pairs.append(transitions(text).tolist())
         own = [
             pa.array([[dict(zip(("start", "kind", "end"), s)) for s in x] for x in base], pa.list_(span)),
-            pa.array([[dict(zip(("start", "end", "encoding", "pairs"), s)) for s in x] for x in runs], pa.list_(run)),
+            pa.array([[dict(zip(("start", "end", "encoding", "odd", "pairs"), s)) for s in x] for x in runs], pa.list_(run)),
             pa.array(pairs, pa.list_(pa.int64())),
         ]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], "base", "runs", "pairs"])
@@ -166,7 +173,7 @@ def length_class(n: Column) -> Column:
     return of
 
 
-def thresholds(counts: list[tuple[int, int, int]], fdr: float = FDR) -> dict[int, int]:
+def thresholds(counts: list[tuple[int, int, int]], fdr: float) -> dict[int, int]:
     """Benjamini-Hochberg on (length class, bin, n): the least bin, from above, that holds by class."""
     least = {}
     for c in {x[0] for x in counts}:
@@ -179,35 +186,43 @@ def thresholds(counts: list[tuple[int, int, int]], fdr: float = FDR) -> dict[int
     return least
 
 
+def rejected(runs: DataFrame, bin_: str, fdr: float):
+    """A test of a run (class, the bin): whether its hypothesis is rejected, over all of ``runs``; at most classes * BINS counts reach the driver."""
+    counts = runs.groupBy("class", bin_).count().collect()
+    least = thresholds([tuple(r) for r in counts], fdr)
+
+    def of(r: Column) -> Column:
+        out = F.lit(False)
+        for c, b in least.items():
+            out = out | ((r["class"] == c) & (r[bin_] >= b))
+        return out
+
+    return of
+
+
 def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``found``, an array of (start, kind, end) by start and kind, for every row."""
     names = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], docs[text].alias("_text"))
     kinds = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
-    rows = checkpointed(rows.mapInArrow(scan, kinds + SCANNED))
+    rows = checkpointed(rows.mapInArrow(tidy(scan), kinds + SCANNED))
     pairs = rows.agg(*[F.coalesce(F.sum(F.col("pairs")[i]), F.lit(0)).alias(f"p{i}") for i in range(16)]).first()
     ratios = log_ratios(list(pairs))
 
     def surprise(run: Column) -> Column:
-        """Tenths of -log10 of the run's p-value."""
+        """Tenths of -log10 of the run's p-value as text."""
         total = F.lit(0.0)
         for name, ratio in ratios.items():
             dot = F.aggregate(F.zip_with(run["pairs"], F.array(*map(F.lit, ratio)), lambda n, w: n * w), F.lit(0.0), lambda a, x: a + x)
             total = F.when(run["encoding"] == name, dot).otherwise(total)
         return F.least(F.greatest(F.floor(total * (-10 / math.log(10))), F.lit(0)), F.lit(BINS)).cast("int")
 
-    scored = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), F.lit(BASE).alias("kind"), r["end"].alias("end"), surprise(r).alias("bin"), length_class(r["end"] - r["start"]).alias("class")))
+    scored = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), F.lit(BASE).alias("kind"), r["end"].alias("end"), r["odd"].alias("odd"), surprise(r).alias("bin"), length_class(r["end"] - r["start"]).alias("class")))
     rows = rows.select(*names, "base", scored.alias("runs"))
-    counts = rows.select(F.explode("runs").alias("r")).groupBy("r.class", "r.bin").count().collect()
-    least = thresholds([tuple(r) for r in counts])
-
-    def kept(r: Column) -> Column:
-        out = F.lit(False)
-        for c, b in least.items():
-            out = out | ((r["class"] == c) & (r["bin"] >= b))
-        return out
-
-    added = F.transform(F.filter("runs", kept), lambda r: F.struct(*[r[c].alias(c) for c in ("start", "kind", "end")]))
+    runs = rows.select(F.explode("runs").alias("r")).select("r.*")
+    ordered = rejected(runs, "odd", REJECT)
+    strange = rejected(runs.filter(~ordered({c: F.col(c) for c in ("class", "odd")})), "bin", FDR)
+    added = F.transform(F.filter("runs", lambda r: ~ordered(r) & strange(r)), lambda r: F.struct(*[r[c].alias(c) for c in ("start", "kind", "end")]))
     return rows.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.array_sort(F.concat("base", added)).alias("found"))
 
 
