@@ -1,13 +1,13 @@
 """Shards of nearly equal bytes by a k-d tree over document metadata.
 
-Rows become units: equal texts are one unit, unless the group holds over half a shard's bytes, in
+Rows become units: equal texts are one unit, unless the group holds more than a shard's bytes, in
 which case each of its rows is a unit (rows that repeat, id included, stay one).  A unit has a
 coordinate in every metadata dimension.  The tree splits a node along the dimension in which its
 units spread widest, at the weighted quantile that gives each side its share of the leaves
 (20 : 20, ... 2 : 3), until every leaf is one shard of the target bytes.
 
-Quantiles are exact and distributed: a coordinate is a 48-bit integer, ``GRID`` bits of the
-dimension and the rest a hash of the unit, so ties have an order.  All nodes of a level are
+Quantiles are exact and distributed: a coordinate is a 36-bit integer, ``GRID`` bits of the
+dimension and the rest a hash of the unit, so ties have an order but for one unit in 65,536.  All nodes of a level are
 searched at once by histograms of ``FAN`` bins, each step narrowing every node's interval by that
 factor; what reaches the driver is at most shards * FAN sums, whatever the input.  The tree itself has
 shards - 1 cuts and becomes one CASE expression.
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from emberscope.llm.common import checkpointed, few_files
 
-ROW_BYTES, GRID, TIES, FAN = 16, 20, 28, 4096
+ROW_BYTES, GRID, TIES, FAN = 16, 20, 16, 4096
 #: Units over this part of a shard's bytes are dealt out before the tree grows.
 WHOLE = 0.02
-#: Groups that hold more than this part of a shard's bytes are taken apart.
-APART = 0.5
+#: Groups that hold more than this many shards' bytes are taken apart: they fit in none.
+APART = 1.0
 #: Rows that number their slots together.
 RUN = 50_000
 
