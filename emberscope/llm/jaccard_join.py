@@ -9,7 +9,8 @@ The distance is 1 - Jaccard, a metric; two documents link within ``R = 1 - perce
   linked document lacks ``R * n`` of its shingles at most.  This is a prefix filter; sizes and
   places in the order leave out what can't link.
 * **Large regions.**  A region of over ``LEAF`` documents (near copies, mostly) first has all of them compared to
-  ``STARS`` documents of it; what links makes one component, and later only pairs of different components count.
+  ``STARS`` of its documents; what links makes one component, and later only pairs of different components count.
+  Of the pairs that are left, those that connect a region like a tree come first, then what they leave in different components.
 * **Voronoi regions.**  What is left of a large region is parted by documents drawn from it as pivots, about ``PIVOTS`` of them.
   A document's home is its nearest pivot p; it is replicated to every pivot q with
   d(x, q) <= d(x, p) + 2R, as by the triangle inequality a document linked to x has no other home.  Regions of over ``WIDE`` documents are parted
@@ -41,7 +42,7 @@ from emberscope.llm.components import components
 
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT, WORDS = 90, 3
-LEAF, STARS, PIVOTS, WIDE, SALTS = 32, 3, 16, 2048, 16
+LEAF, STARS, PIVOTS, WIDE, SALTS = 32, 1, 16, 2048, 16
 SKETCH, COUNT_BITS, CHUNKS, HEAVY_BITS, WANTED_BITS = 128, 21, 512, 20, 23
 #: Bytes of text that are hashed together.
 PORTION = 4 << 20
@@ -338,7 +339,8 @@ def distances(x: np.ndarray, n, y: np.ndarray, m) -> np.ndarray:
     return 2 * apart / np.maximum(n + m + apart, 1)
 
 
-MEMBER = "region long, own boolean, node long, n long, pos long, label long, sketch binary"
+MEMBER = "root long, region long, own boolean, node long, n long, pos long, label long, sketch binary"
+NAMES = MEMBER.replace(",", "").split()[::2]
 
 
 def homes(percent: int):
@@ -363,30 +365,48 @@ def homes(percent: int):
                     d = distances(x[i], n[i], y, sizes)
                     order = np.argsort(d, kind="stable")
                     cells[i] = names[order[d[order] <= d[order[0]] + 2 * (1 - percent / 100) + 1e-9]].tolist()
-            columns = [batch.column(c) for c in ("region", "own", "node", "n", "pos", "label", "sketch")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cells, pa.list_(pa.int64()))], [*MEMBER.replace(",", "").split()[::2], "cells"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in NAMES], pa.array(cells, pa.list_(pa.int64()))], [*NAMES, "cells"])
 
     return run
 
 
-def leaves(percent: int):
-    """Over Arrow batches of MEMBER with ``held``, by region, held rows first, a region's rows together: pairs (a, b).
+def leaves(percent: int, forest: bool):
+    """Over Arrow batches of MEMBER with ``held``, by region, held rows first, a region's rows together: pairs (root, a, b, n_a, n_b).
 
     Held rows are compared to each other and to the others.  A pair needs an own row, two labels, sizes and places that
-    allow a link, and counts within R.
+    allow a link, and counts within R.  ``forest``: of those only what connects labels that the region's earlier
+    pairs don't connect, the nearest first; that is fewer pairs than rows.  Where others are left out there is a row (root, -1, -1, 0, 0).
     """
-    names = ("region", "held", "own", "node", "n", "pos", "label")
+    names = ("root", "region", "held", "own", "node", "n", "pos", "label")
+
+    def against(x, y, up):
+        """Pairs of a row of x and one of y; ``up`` leads from a label to one that it is connected to."""
+
+        def root(label):
+            while (above := up.get(label, label)) != label:
+                up[label] = label = up.get(above, above)
+            return label
 
-    def against(x, y):
-        """Pairs of a row of x and one of y."""
         for i in range(len(x["node"])):
             good = (x["label"][i] != y["label"]) & (x["own"][i] | y["own"]) & able(cut(x, i, i + 1), y, percent)
             at = np.flatnonzero(good)
             if len(at):
                 apart = np.abs(y["sketch"][at] - x["sketch"][i]).sum(axis=1)
-                at = at[apart <= x["n"][i] + y["n"][at] - 2 * needed(x["n"][i], y["n"][at], percent)]
+                near = apart <= x["n"][i] + y["n"][at] - 2 * needed(x["n"][i], y["n"][at], percent)
+                at, apart = at[near], apart[near]
+            if len(at) and forest:
+                new, mine = [], root(int(x["label"][i]))
+                for j in at[np.argsort(apart, kind="stable")]:
+                    other = root(int(y["label"][j]))
+                    if other != mine:
+                        up[other] = mine
+                        new.append(j)
+                if len(new) < len(at) and None not in up:
+                    up[None] = None
+                    yield x["root"][i : i + 1], *np.array([[-1], [-1], [0], [0]])
+                at = np.array(new, dtype=np.int64)
             if len(at):
-                yield np.full(len(at), x["node"][i]), y["node"][at]
+                yield np.full(len(at), x["root"][i]), np.full(len(at), x["node"][i]), y["node"][at], np.full(len(at), x["n"][i]), y["n"][at]
 
     def found(batches):
         held = None
@@ -397,22 +417,24 @@ def leaves(percent: int):
             for s, e in zip(starts, np.append(starts[1:], len(rows["region"]))):
                 own = cut(rows, s, e)
                 if held is None or held["region"][0] != own["region"][0]:
-                    held = cut(own, 0, 0)
+                    held, up = cut(own, 0, 0), {}
                 kept = int(own["held"].sum())
                 new, others = cut(own, 0, kept), cut(own, kept, None)
-                yield from against(new, held)
+                yield from against(new, held, up)
                 for i in range(kept):
-                    yield from against(cut(new, i, i + 1), cut(new, i + 1, None))
+                    yield from against(cut(new, i, i + 1), cut(new, i + 1, None), up)
                 held = {k: np.concatenate([held[k], new[k]]) for k in new} if kept else held
-                yield from against(others, held)
+                yield from against(others, held, up)
                 if not len(held["region"]):
                     held = None
 
     def run(batches):
         import pyarrow as pa
 
-        for a, b in found(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+        for root, a, b, n, m in found(batches):
+            turned = a > b
+            columns = [root, *[np.where(turned, y, x) for x, y in ((a, b), (b, a), (n, m), (m, n))]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["root", "a", "b", "n_a", "n_b"])
 
     return run
 
@@ -514,7 +536,7 @@ class Join:
         self.rows, _ = rewritten(rows.withColumn("_row", F.monotonically_increasing_id()), few=False)
         sets = self.rows.filter("n > 0").groupBy("n", "h1", "h2").agg(
             F.min("_row").alias("node"), F.min_by("_h", "_row").alias("_h"), F.min("_id").alias("least"), F.count("*").alias("rows"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-        self.sets, _ = rewritten(sets.select("node", "_h", "least", "rows", "prefix", "sketch", *[F.col(c).alias(f"s_{c}") for c in ("n", "h1", "h2")]))
+        self.sets, _ = rewritten(sets.select("node", "_h", "least", "rows", "prefix", "sketch", *[F.col(c).alias(f"s_{c}") for c in ("n", "h1", "h2")]), few=False)
         swept(self.spark)
 
     def sets_for(self, pairs: DataFrame) -> DataFrame:
@@ -525,21 +547,26 @@ class Join:
         bits = self.spark.sparkContext.broadcast(joined_bits(flags, CHUNKS, WANTED_BITS))
         texts = self.docs.select("_h", "_text").mapInArrow(tidy(wanted(bits)), "_h long, _text string")
         texts = texts.join(merge(active), F.col("_h") == F.col("_of")).select("node", "s_h1", "s_h2", "_text")
-        sets, _ = rewritten(texts.mapInArrow(tidy(sets_of(self.words)), "node long, set binary").dropDuplicates(["node"]))
+        sets, _ = rewritten(texts.mapInArrow(tidy(sets_of(self.words)), "node long, set binary").dropDuplicates(["node"]), few=False)
         removed(self.spark, at)
         swept(self.spark)
         return sets
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link: those that the sketches allow, by their whole sets."""
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, n_a, n_b) of the pairs that the sketches allow."""
         side = lambda s: self.sets.select(F.col("node").alias(f"node_{s}"), F.col("s_n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         pairs = pairs.join(merge(side("a")), F.col("a") == F.col("node_a")).join(merge(side("b")), F.col("b") == F.col("node_b"))
-        pairs, at = rewritten(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(possible(self.percent)), "a long, b long, n_a int, n_b int"))
+        return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(possible(self.percent)), "a long, b long, n_a int, n_b int")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by their whole sets, of pairs (a, b, n_a, n_b)."""
+        pairs, at = rewritten(pairs)
         swept(self.spark)
         sets = self.sets_for(pairs)
+        pairs = pairs.withColumns({c: F.col(c).cast("long") for c in ("n_a", "n_b")})
         both = pairs.join(merge(sets.select(F.col("node").alias("node_a"), F.col("set").alias("x"))), F.col("a") == F.col("node_a"))
         both = both.join(merge(sets.select(F.col("node").alias("node_b"), F.col("set").alias("y"))), F.col("b") == F.col("node_b"))
-        sizes = both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(tidy(compared), "a long, b long, n_a int, n_b int, both long")
+        sizes = both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(tidy(compared), "a long, b long, n_a long, n_b long, both long")
         union = F.col("n_a") + F.col("n_b") - F.col("both")
         out, _ = rewritten(sizes.filter(100 * F.col("both") >= self.percent * union).select("a", "b"))
         removed(self.spark, at)
@@ -549,75 +576,92 @@ class Join:
     def labels(self) -> DataFrame:
         """(node, label) of the sets that link to another one."""
         spread = self.sets.select("node", F.col("s_n").cast("long").alias("n"), "prefix").mapInArrow(tidy(placed), PLACED)
-        found, at = rewritten(spread.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(tidy(regions(self.percent)), REGIONS))
+        found, at = rewritten(spread.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(tidy(regions(self.percent)), REGIONS), few=False)
         swept(self.spark)
         pairs, _ = rewritten(found.filter("b is not null").select("a", "b").distinct())
-        links = self.linked(pairs)
+        links = self.linked(self.possible(pairs))
         labels = components(links)
-        left = self.left_over(found.filter("b is null").select(F.col("key").alias("region"), F.col("a").alias("node"), "n", "pos"), labels)
+        members = found.filter("b is null").select(F.col("key").alias("region"), F.col("a").alias("node"), "n", "pos")
+        # First what connects each region if the counts are right, so that of near copies not all pairs are left; then all that is left.
+        left = self.left_over(members, labels, True)
+        if left is not None:
+            roots = left.filter("a < 0").select(F.col("root").alias("_r")).distinct()
+            tree, _ = rewritten(left.filter("a >= 0").drop("root").distinct().join(merge(pairs), ["a", "b"], "left_anti"))
+            links, labels = self.extended(links, labels, tree)
+            left = self.left_over(members.join(merge(roots), F.col("region") == F.col("_r"), "left_semi"), labels, False)
+        if left is not None:
+            known = pairs.unionAll(tree.select("a", "b"))
+            links, labels = self.extended(links, labels, left.drop("root").distinct().join(merge(known), ["a", "b"], "left_anti"))
         removed(self.spark, at)
-        if left is None:
-            return labels
-        more = self.linked(left.join(merge(pairs), ["a", "b"], "left_anti"))
-        return labels if more.isEmpty() else components(links.unionAll(more))
-
-    def left_over(self, members: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Pairs (a, b) of different labels within large regions (region, node, n, pos) that may link; None if there are none to look at."""
-        at = members.join(merge(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = at.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo < hi")
-        several, _ = rewritten(several.select("region", "rows", F.lit(True).alias("open")))
-        if several.isEmpty():
+        return labels
+
+    def extended(self, links: DataFrame, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links, labels) with the pairs that link."""
+        new = self.linked(pairs)
+        if new.isEmpty():
+            return links, labels
+        links = links.unionAll(new)
+        return links, components(links)
+
+    def left_over(self, members: DataFrame, labels: DataFrame, forest: bool) -> DataFrame | None:
+        """Pairs (root, a, b, n_a, n_b) of different labels within large regions (region, node, n, pos) that may link; None if there are none to look at."""
+        at, _ = rewritten(members.join(merge(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), few=False)
+        at, _ = rewritten(self.sized(at), few=False)
+        if at.isEmpty():
             return None
-        at = looked_up(at, "region", several, "node").filter("open").drop("open")
         sketches = self.sets.select(F.col("node").alias("_n"), "sketch")
-        table, path = rewritten(at.join(merge(sketches), F.col("node") == F.col("_n")).select("region", F.lit(True).alias("own"), "node", "n", "pos", "label", "sketch"))
-        swept(self.spark)
+        table = at.join(merge(sketches), F.col("node") == F.col("_n")).select(F.col("region").alias("root"), "region", F.lit(True).alias("own"), "node", "n", "pos", "label", "sketch", "size")
         found = []
         while True:
-            sizes, _ = rewritten(table.groupBy("region").agg(F.count("*").alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi"))
-            small = looked_up(table, "region", sizes.select("region", "rows", (F.col("rows") <= WIDE).alias("small")), "node")
-            found.append(self.leaf_pairs(small.filter("small").withColumn("held", F.lit(True)).drop("small")))
-            large = sizes.filter(F.col("rows") > WIDE)
+            table, _ = rewritten(table, few=False)
+            swept(self.spark)
+            small, large = table.filter(F.col("size") <= WIDE), table.filter(F.col("size") > WIDE)
+            found.append(self.leaf_pairs(small.withColumn("held", F.lit(True)), forest))
             if large.isEmpty():
                 break
-            table, path = self.parted(looked_up(table, "region", large.select("region", "rows", F.col("rows").alias("size")), "node").filter("size is not null"), large, found), path
+            table = self.sized(self.parted(large, found, forest))
         out = found[0]
         for more in found[1:]:
             out = out.unionAll(more)
-        return out.distinct()
+        return out
+
+    @staticmethod
+    def sized(members: DataFrame) -> DataFrame:
+        """``members`` of regions of more than one label, with their region's ``size``."""
+        several = members.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+        return members.join(merge(several.select(F.col("region").alias("_r"), "size")), F.col("region") == F.col("_r")).drop("_r")
 
-    def leaf_pairs(self, rows: DataFrame) -> DataFrame:
-        kept = rows.select("region", "held", "own", "node", "n", "pos", "label", "sketch")
-        pairs, _ = rewritten(kept.repartition("region").sortWithinPartitions("region", F.desc("held")).mapInArrow(tidy(leaves(self.percent)), "a long, b long").distinct())
+    def leaf_pairs(self, rows: DataFrame, forest: bool) -> DataFrame:
+        kept = rows.select(*NAMES, "held")
+        pairs, _ = rewritten(kept.repartition("region").sortWithinPartitions("region", F.desc("held")).mapInArrow(tidy(leaves(self.percent, forest)), "root long, a long, b long, n_a long, n_b long"))
         swept(self.spark)
         return pairs
 
-    def parted(self, table: DataFrame, large: DataFrame, found: list[DataFrame]) -> DataFrame:
+    def parted(self, table: DataFrame, found: list[DataFrame], forest: bool) -> DataFrame:
         """MEMBER rows of the Voronoi regions of ``table`` (MEMBER and its region's ``size``); pairs of regions that don't part go to ``found``."""
         # A pivot by a share of the hashes, and the least hash so that there is one.
         h = F.xxhash64("region", "node")
         drawn = F.abs(h % 1_000_000) * F.col("size") < PIVOTS * 1_000_000
         one = F.struct("node", "n", "sketch")
-        pivots = table.filter("own").groupBy("region").agg(F.min_by(one, h).alias("first"), F.collect_list(F.when(drawn, one)).alias("drawn"), F.count("*").alias("rows"))
-        pivots = pivots.select("region", "rows", F.array_distinct(F.concat(F.array("first"), "drawn")).alias("pivots"))
-        pivots, _ = rewritten(pivots)
-        members = looked_up(table, "region", pivots, "node", 100).filter("pivots is not null")
-        names = MEMBER.replace(",", "").split()[::2]
-        at, _ = rewritten(members.select(*names, "pivots").mapInArrow(tidy(homes(self.percent)), f"{MEMBER}, cells array<long>"))
+        pivots = table.filter("own").groupBy("region").agg(F.min_by(one, h).alias("first"), F.collect_list(F.when(drawn, one)).alias("drawn"))
+        pivots, _ = rewritten(pivots.select(F.col("region").alias("_r"), F.array_distinct(F.concat(F.array("first"), "drawn")).alias("pivots")))
+        # A large region's rows are many for its one row of pivots: Spark splits such a join's partitions.
+        members = table.join(merge(pivots), F.col("region") == F.col("_r"))
+        at, _ = rewritten(members.select(*NAMES, "pivots").mapInArrow(tidy(homes(self.percent)), f"{MEMBER}, cells array<long>"), few=False)
         cells = at.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count("*").alias("n"))
         cells = cells.groupBy("region").agg(F.max("n").alias("most"), F.sum("n").alias("copies"))
-        state = large.select("region", F.col("rows").alias("size")).join(merge(cells), "region")
-        state, _ = rewritten(state.withColumn("parts", (F.col("most") <= 0.8 * F.col("size")) & (F.col("copies") <= 4 * F.col("size"))))
-        best = at.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", "count").alias("largest"))
-        state, _ = rewritten(state.join(merge(best), "region").select("region", F.col("size").alias("rows"), "parts", "largest"))
-        at = looked_up(at, "region", state.withColumn("blocks", F.ceil(F.col("rows") / WIDE)), "node")
+        labels = at.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy(F.col("region").alias("_r")).agg(F.max_by("label", "n").alias("largest"), F.sum("n").alias("size"))
+        state = cells.join(merge(labels), F.col("region") == F.col("_r"))
+        parts = (F.col("most") <= 0.8 * F.col("size")) & (F.col("copies") <= 4 * F.col("size"))
+        state, _ = rewritten(state.select("_r", parts.alias("parts"), "largest", F.ceil(F.col("size") / WIDE).alias("blocks")))
+        at = at.join(merge(state), F.col("region") == F.col("_r"))
         block = F.pmod(F.xxhash64("node"), F.col("blocks"))
         among = F.when(F.col("label") == F.col("largest"), F.array(block)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         dense = at.filter("not parts").withColumn("block", F.explode(among)).withColumn("held", F.col("block") == block)
-        found.append(self.leaf_pairs(dense.withColumn("region", F.xxhash64("region", "block"))))
+        found.append(self.leaf_pairs(dense.withColumn("region", F.xxhash64("region", "block")), forest))
         own = F.col("own") & (F.col("cell") == F.col("cells")[0])
-        children = at.filter("parts").withColumn("cell", F.explode("cells")).select(F.xxhash64("region", "cell").alias("region"), own.alias("own"), "node", "n", "pos", "label", "sketch")
-        out, _ = rewritten(children)
+        children = at.filter("parts").withColumn("cell", F.explode("cells")).select("root", F.xxhash64("region", "cell").alias("region"), own.alias("own"), "node", "n", "pos", "label", "sketch")
+        out, _ = rewritten(children, few=False)
         swept(self.spark)
         return out
 

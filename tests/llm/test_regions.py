@@ -13,7 +13,7 @@ from emberscope.llm import jaccard_join as jj
 def test_shingles_are_those_of_the_plain_version(monkeypatch):
     monkeypatch.setattr(jj, "PORTION", 40)
     rng = random.Random(1)
-    texts = [None, "", " \t\n", "A", " a ", "a b", "a b c", "É x Y\x1cz ſ K\x85", "x\x0by\x0cz\rw", "A b c a B c a b", "w " * 300]
+    texts = [None, "", " \t\n", "A", " a ", "a b", "a b c", "É x Y\x1cz ſ K\x85", "x\x0by\x0cz\rw", "A b c a B c a b", "w " * 300, "long" * 40 + " " + "long" * 39 + "lonh", "anagram margana " * 3]
     texts += [" ".join(rng.choice("abcDE") for _ in range(rng.randrange(12))) for _ in range(60)]
     for words in (3, 5):
         found = list(jj.shingles(pa.array(texts), words, jj.Hashes()))
@@ -63,8 +63,8 @@ def test_linked_documents_share_the_home_of_one(percent):
     sets = members(90)
     sketches = [jj.sketched(s) for s in sets]
     pivots = [{"node": i, "n": len(sets[i]), "sketch": sketches[i]} for i in (0, 6, 12, 1, 7, 2, 3)]
-    kinds = dict(region=pa.int64(), own=pa.bool_(), node=pa.int64(), n=pa.int64(), pos=pa.int64(), label=pa.int64(), sketch=pa.binary(), pivots=pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])))
-    out = [r for b in jj.homes(percent)(iter([rows_of(kinds, [(1, True, i, len(s), 0, i, sketches[i], pivots) for i, s in enumerate(sets)])])) for r in b.to_pylist()]
+    kinds = dict(root=pa.int64(), region=pa.int64(), own=pa.bool_(), node=pa.int64(), n=pa.int64(), pos=pa.int64(), label=pa.int64(), sketch=pa.binary(), pivots=pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])))
+    out = [r for b in jj.homes(percent)(iter([rows_of(kinds, [(1, 1, True, i, len(s), 0, i, sketches[i], pivots) for i, s in enumerate(sets)])])) for r in b.to_pylist()]
     cells = {r["node"]: r["cells"] for r in out}
     linked, apart = 0, 0
     for i in range(90):
@@ -77,15 +77,33 @@ def test_linked_documents_share_the_home_of_one(percent):
     assert linked > 50 and apart > 0 and np.mean([len(c) for c in cells.values()]) < 6
 
 
+def joined(pairs):
+    """Labels (pairs of documents), as far as pairs connect them."""
+    up = {i: i for i in range(20)}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        up[root(a // 2)] = root(b // 2)
+    return {frozenset(j for j in up if root(j) == root(i)) for i in up}
+
+
 def test_leaves_give_every_pair_that_counts_allow():
     sets = members(40)
-    kinds = dict(region=pa.int64(), held=pa.bool_(), own=pa.bool_(), node=pa.int64(), n=pa.int64(), pos=pa.int64(), label=pa.int64(), sketch=pa.binary())
-    rows = [(1, i < 25, i % 5 > 0, i, len(s), 0, i // 2, jj.sketched(s)) for i, s in enumerate(sets)]
+    kinds = dict(root=pa.int64(), region=pa.int64(), held=pa.bool_(), own=pa.bool_(), node=pa.int64(), n=pa.int64(), pos=pa.int64(), label=pa.int64(), sketch=pa.binary())
+    rows = [(8, 1, i < 25, i % 5 > 0, i, len(s), 0, i // 2, jj.sketched(s)) for i, s in enumerate(sets)]
     want = {(j, i) for i in range(40) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 90 * (len(sets[i]) + len(sets[j]) - both)}
     want = {(a, b) for a, b in want if a // 2 != b // 2 and (a % 5 or b % 5) and a < 25}
     for size in (1, 7, 100):
         batches = [rows_of(kinds, rows[a : a + size]) for a in range(0, 40, size)]
-        got = [(r["a"], r["b"]) for b in jj.leaves(90)(iter(batches)) for r in b.to_pylist()]
+        got = [(r["a"], r["b"]) for b in jj.leaves(90, False)(iter(batches)) for r in b.to_pylist()]
+        tree = [(r["a"], r["b"], r["n_a"], r["n_b"]) for b in jj.leaves(90, True)(iter(batches)) for r in b.to_pylist() if r["a"] >= 0]
+        assert [tuple(r.values()) for b in jj.leaves(90, True)(iter(batches)) for r in b.to_pylist() if r["a"] < 0] == [(8, -1, -1, 0, 0)]
+        assert {t[:2] for t in tree} <= set(got) and len(tree) < 20 and all((n, m) == (len(sets[a]), len(sets[b])) for a, b, n, m in tree)
+        assert joined([t[:2] for t in tree]) == joined(got)
         assert len(got) == len(set(got)) and set(got) >= want and all(a // 2 != b // 2 and a < 25 for a, b in got)
 
 
