@@ -44,22 +44,8 @@ from emberscope.llm.components import components
 PERCENT, WORDS = 90, 3
 LEAF, STARS, PIVOTS, WIDE, SALTS = 32, 1, 16, 2048, 16
 SKETCH, COUNT_BITS, CHUNKS, HEAVY_BITS, WANTED_BITS = 128, 21, 512, 20, 23
-#: Bytes of text that are hashed together.
-PORTION = 4 << 20
-
-
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    MOST = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Bytes of text that are hashed together, and words whose runs are.
+PORTION, RUNS = 1 << 20, 1 << 16
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -68,45 +54,85 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def portions(texts):
-    """Slices of an Arrow array of texts, of about PORTION bytes."""
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+#: A number for each byte, the same for A-Z as for a-z; which bytes end a word; powers for a byte's place in its word.
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
+LETTERS[65:91] = LETTERS[97:123]
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BASE = 0x9E3779B97F4A7C15
+POWERS = np.cumprod(np.full(64, BASE, dtype=np.uint64))
+
+
+def hashed_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words of the bytes start, and their 64-bit hashes; ``first`` flags bytes at which a text starts."""
+    solid = ~SPACE[data]
+    begins = solid & first
+    begins[1:] |= solid[1:] & ~solid[:-1]
+    starts, letters = np.flatnonzero(begins), data[solid]
+    at = np.flatnonzero(begins[solid])
+    if not len(at):
+        return starts, np.zeros(0, dtype=np.uint64)
+    sizes = np.diff(np.append(at, len(letters)))
+    powers = POWERS if sizes.max() <= len(POWERS) else np.cumprod(np.full(sizes.max(), BASE, dtype=np.uint64))
+    place = np.arange(len(letters)) - np.repeat(at, sizes)
+    return starts, mixed(np.add.reduceat(LETTERS[letters] * powers[place], at) + sizes.astype(np.uint64))
+
+
+def portions(data: np.ndarray, first: np.ndarray):
+    """(start, end) of about PORTION bytes each, none of which cuts a word."""
     at = 0
-    while at < len(texts):
-        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION)) + 1
-        yield texts.slice(at, upto - at)
-        at = upto
+    while at < len(data):
+        end, step = min(at + PORTION, len(data)), PORTION
+        while end < len(data):
+            breaks = np.flatnonzero(SPACE[data[end - step : end]] | first[end - step : end])
+            breaks = breaks[breaks + end - step > at]
+            if len(breaks):
+                end = int(breaks[-1]) + end - step
+                break
+            end = min(end + step, len(data))  # a word longer than a portion
+        yield at, end
+        at = end
 
 
 def chained(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words, from the words' own."""
     out = np.full(max(len(h) - size + 1, 0), size, dtype=np.uint64)
     for i in range(size):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)])
+        out = mixed(out * np.uint64(BASE) + h[i : i + len(out)])
     return out
 
 
-def shingles(texts, words: int, hashes: Hashes):
+def shingles(texts, words: int):
     """For each text of an Arrow array the sorted distinct hashes of its shingles; only A-Z and ASCII white space are special."""
     import pyarrow as pa
-    import pyarrow.compute as pc
-
-    for part in portions(texts):
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
-        flat = lists.flatten()
-        whole = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
-        ends = np.concatenate([[0], np.cumsum(whole)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        coded = flat.filter(pa.array(whole)).dictionary_encode()
-        known = np.fromiter(map(hashes.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-        h = known[coded.indices.to_numpy()] if len(known) else known
-        runs = chained(h, words)
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            if b - a >= words:
-                yield np.unique(runs[a : b - words + 1])
-            else:
-                yield chained(h[a:b], b - a) if b > a else h[:0]
+
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype="<i8")[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[offsets[:-1]] = True
+    first = first[:-1]
+    starts, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    for a, b in portions(data, first):
+        at, h = hashed_words(data[a:b], first[a:b])
+        starts.append(at + a)
+        hashes.append(h)
+    ends, h = np.searchsorted(np.concatenate(starts), offsets).tolist(), np.concatenate(hashes)
+    del starts, hashes
+    upto = 0  # runs holds those of words from ``since`` to ``upto``, whole texts
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        if b > upto:
+            since, last = a, int(np.searchsorted(ends, a + RUNS, side="right")) - 1
+            upto = ends[max(last, i + 1)]
+            runs = chained(h[since:upto], words)
+        if b - a < words:
+            yield chained(h[a:b], b - a) if b > a else h[:0]
+        else:
+            out = np.sort(runs[a - since : b - since - words + 1])
+            new = np.ones(len(out), dtype=bool)
+            np.not_equal(out[1:], out[:-1], out=new[1:])
+            yield out[new]
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -119,9 +145,9 @@ def counted(words: int):
     def run(batches):
         import pyarrow as pa
 
-        hashes, counts = Hashes(), np.zeros(1 << COUNT_BITS, dtype=np.uint32)
+        counts = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
         for batch in batches:
-            for s in shingles(batch.column(0), words, hashes):
+            for s in shingles(batch.column(0), words):
                 np.add.at(counts, bucket(s), np.uint32(1))  # a plain 1 is fifteen times slower
         small = np.minimum(counts, 65535).astype("<u2").reshape(CHUNKS, -1)
         if counts.any():
@@ -190,10 +216,10 @@ def signed(words: int, percent: int, hot):
         import pyarrow as pa
         import xxhash
 
-        hashes, flags = Hashes(), np.unpackbits(np.frombuffer(hot.value, dtype=np.uint8)).astype(bool)
+        flags = np.unpackbits(np.frombuffer(hot.value, dtype=np.uint8)).astype(bool)
         for batch in batches:
             sizes, h1, h2, prefixes, sketches = [], [], [], [], []
-            for s in shingles(batch.column(batch.num_columns - 1), words, hashes):
+            for s in shingles(batch.column(batch.num_columns - 1), words):
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 common = flags[bucket(s)]
                 sizes.append(len(s))
@@ -496,10 +522,9 @@ def sets_of(words: int):
         import pyarrow as pa
         import xxhash
 
-        hashes = Hashes()
         for batch in batches:
             nodes, sets = [], []
-            for node, h1, h2, s in zip(*[c.to_pylist() for c in batch.columns[:3]], shingles(batch.column(3), words, hashes)):
+            for node, h1, h2, s in zip(*[c.to_pylist() for c in batch.columns[:3]], shingles(batch.column(3), words)):
                 s = s.tobytes()
                 if xxhash.xxh3_128_digest(s) == h1.to_bytes(8, "big", signed=True) + h2.to_bytes(8, "big", signed=True):
                     nodes.append(node)
