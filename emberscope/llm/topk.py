@@ -120,33 +120,38 @@ def search(tree: BallTree, query_ids: np.ndarray, q: np.ndarray, kth: np.ndarray
     norms = np.sqrt((q**2).sum(axis=1))
     open_ = np.full((len(q), len(tree.nodes)), -np.inf)
     open_[:, 0] = tree.upper(q, norms, 0)
-    live, entered = np.arange(len(q)), 0
+    live, entered, width, turn, depth = np.arange(len(q)), 0, 1, 0, len(tree.nodes).bit_length()
     while len(live):
-        best = open_[live].argmax(axis=1)
-        bound = open_[live, best]
-        going = (bound >= kth[live]) & (bound > -np.inf)
-        live, best = live[going], best[going]
-        open_[live, best] = -np.inf
-        scored = np.zeros(len(q), dtype=bool)
+        bounds = open_[live]
+        best = bounds.argmax(axis=1)[:, None] if width == 1 else np.argpartition(bounds, bounds.shape[1] - width, axis=1)[:, -width:]
+        bound = np.take_along_axis(bounds, best, axis=1)
+        going = (bound >= kth[live][:, None]) & (bound > -np.inf)
+        who, best = np.repeat(live, going.sum(axis=1)), best[going]
+        live = live[going.any(axis=1)]
+        open_[who, best] = -np.inf
+        entered += len(who)
         for node in np.unique(best):
-            asked = live[best == node]
-            entered += len(asked)
+            asked = who[best == node]
             left, right, a, b = tree.nodes[node]
             if left >= 0:
                 for child in (left, right):
                     open_[asked, child] = tree.upper(q[asked], norms[asked], child)
                 continue
-            scored[asked] = first_leaf
             scores = products(q[asked], tree.v[a:b])
-            for i, row in zip(asked, scores):
-                good = np.flatnonzero(row >= kth[i])
-                if len(good):
-                    merged = found[i] + [(int(row[g]), int(tree.ids[a + g])) for g in good if tree.ids[a + g] != query_ids[i]]
-                    merged.sort(key=lambda t: (-t[0], t[1]))
-                    found[i] = merged[:k]
-                    if len(found[i]) == k:
-                        kth[i] = max(kth[i], lowered(found[i][-1][0]))
-        live = live[~scored[live]]
+            reach = scores >= kth[asked][:, None]
+            for one in np.flatnonzero(reach.any(axis=1)):
+                i = asked[one]
+                good = np.flatnonzero(reach[one])
+                merged = found[i] + [(int(scores[one, g]), int(tree.ids[a + g])) for g in good if tree.ids[a + g] != query_ids[i]]
+                merged.sort(key=lambda t: (-t[0], t[1]))
+                found[i] = merged[:k]
+                if len(found[i]) == k:
+                    kth[i] = max(kth[i], lowered(found[i][-1][0]))
+            if first_leaf:
+                live = live[~np.isin(live, asked)]
+        # What is still open after some leaves is in a tree that bounds hardly part: then more nodes are taken at once.
+        turn += 1
+        width = min(1 << max(0, turn - 4 * depth) // 4, len(tree.nodes))
     return entered
 
 
