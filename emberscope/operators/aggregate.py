@@ -1,13 +1,15 @@
 """From node costs to entities, edges and contexts, per profile and merged per group.
 
-Each table is sums over node costs, so it can be made per profile (``by`` with profile_id), stored,
-and merged later with the same result.  Labels of a merged entity are those of its first profile by
+Node costs are condensed first: one row for each combination of keys that occurs.  Each table is sums over
+that, so profiles are walked once for all of them; and condensed per profile (``by`` with profile_id) it can be
+stored and summed up later with the same result.  Labels of a merged entity are those of its first profile by
 member_rank, within a profile of its first node; a function's file is that of its last node.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from emberscope.operators import blocking as blk
 from emberscope.operators import tree
 from emberscope.sources import profiles as src
+from emberscope.sources.sinks import stored
 
 METRICS = ("self_samples", "total_samples", "self_micros", "total_micros")
 GROUP, PROFILE = ("group_id",), ("group_id", "profile_id", "member_rank")
@@ -29,6 +32,23 @@ def totals(first: Column | None = None) -> list[Column]:
     ]
 
 
+NODE = ("parent_key", "fn_key", "fn_display", "file_key", "pkg_key", "category", "fn_first", "file_first", "pkg_first", "label")
+
+
+def placed(costs: DataFrame) -> DataFrame:
+    """``costs`` with the places of a row's first and last node: the earlier the lesser, profiles by their rank."""
+    if "first_at" in costs.columns:
+        return costs
+    at = lambda order: F.struct(F.col("member_rank").cast("bigint").alias("member_rank"), order.alias("node"))
+    return costs.withColumns({"first_at": at(F.col("dfs_order")), "last_at": at(-F.col("dfs_order"))})
+
+
+def condensed(costs: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
+    """Node costs summed by ``by`` and all keys, which every table here can be made of; sums before the shuffle."""
+    metrics = ("self_samples", "self_micros", "sub_samples", "sub_micros")
+    return placed(costs).groupBy(*by, *NODE).agg(*[F.sum(c).alias(c) for c in metrics], F.min("first_at").alias("first_at"), F.min("last_at").alias("last_at"))
+
+
 def entities(costs: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
     """``by``, dim, key, display, package, category, file and the four metrics of functions, files and packages.
 
@@ -41,11 +61,10 @@ def entities(costs: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
     dims = F.array(
         as_dim("function", "fn_key", "fn_display", "fn_first", F.col("file_key")), as_dim("file", "file_key", "file_key", "file_first", none), as_dim("package", "pkg_key", "pkg_key", "pkg_first", none)
     )
-    rows = costs.filter("label is null").withColumn("e", F.explode(dims))
-    order = F.struct("member_rank", "dfs_order")
+    rows = placed(costs).filter("label is null").withColumn("e", F.explode(dims))
     out = rows.groupBy(*by, F.col("e.dim").alias("dim"), F.col("e.key").alias("key")).agg(
-        F.min_by(F.struct(F.col("e.display").alias("display"), F.col("pkg_key").alias("package"), F.col("category").alias("category")), order).alias("_l"),
-        F.min_by("e.file", F.struct(F.col("member_rank"), -F.col("dfs_order"))).alias("file"), *totals(F.col("e.first")),
+        F.min_by(F.struct(F.col("e.display").alias("display"), F.col("pkg_key").alias("package"), F.col("category").alias("category")), "first_at").alias("_l"),
+        F.min_by("e.file", "last_at").alias("file"), *totals(F.col("e.first")),
     )
     return out.select(*by, "dim", "key", "_l.*", "file", *METRICS)
 
@@ -99,42 +118,45 @@ TABLES = {
 }
 
 
-@dataclass
 class Aggregation:
-    """What is known of groups: one table for each grain, all keyed by group_id."""
+    """What is known of groups: one table for each grain, all keyed by group_id.
 
-    entity: DataFrame
-    edge: DataFrame
-    context: DataFrame
-    fn_ctx: DataFrame
-    ctx_entity: DataFrame
-    overall: DataFrame
-    stats: DataFrame
-    blocking: blk.Blocking
+    ``sums``: condensed node costs.  Long tasks need samples; they are only looked for where ``blocking`` is asked for.
+    """
+
+    def __init__(self, sums: DataFrame, stats: DataFrame, blocking: Callable[[], blk.Blocking]):
+        self.sums, self.stats, self._blocking = sums, stats, blocking
+        for name, (table, _) in TABLES.items():
+            setattr(self, name, table(sums))
+
+    @cached_property
+    def blocking(self) -> blk.Blocking:
+        return self._blocking()
 
     def of(self, group_id: str) -> Aggregation:
         """One group's tables."""
-        own = {k: v.filter(F.col("group_id") == group_id) for k, v in vars(self).items() if isinstance(v, DataFrame)}
-        return Aggregation(**own, blocking=self.blocking.of(group_id))
+        own = F.col("group_id") == group_id
+        return Aggregation(self.sums.filter(own), self.stats.filter(own), lambda: self.blocking.of(group_id))
 
 
 def partials(profiles: DataFrame) -> dict[str, DataFrame]:
-    """Every table per profile."""
-    costs = tree.node_costs(profiles)
-    return {name: table(costs, PROFILE) for name, (table, _) in TABLES.items()} | {"stats": src.stats(profiles, PROFILE)}
+    """Every table per profile, of one walk."""
+    sums = stored(condensed(tree.node_costs(profiles), PROFILE))
+    return {name: table(sums, PROFILE) for name, (table, _) in TABLES.items()} | {"stats": src.stats(profiles, PROFILE)}
 
 
 def merged_tables(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: merged(parts[name], keys) for name, (_, keys) in TABLES.items()} | {"stats": merged(parts["stats"], ())}
 
 
-def aggregate(profiles: DataFrame, threshold: int = 50_000, keep: bool = False) -> Aggregation:
+def aggregate(profiles: DataFrame, threshold: int = 50_000) -> Aggregation:
     """All tables of all groups of ``profiles`` (group_id, profile_id, member_rank and a profile's columns).
 
-    Straight from node costs to groups: partial sums before the one shuffle of each table do what
-    per-profile results would.  ``keep`` persists the node costs, for callers that read several tables.
+    Profiles are walked once, here; the sums of that, which are small, are stored for the tables.
     """
-    costs = tree.node_costs(profiles)
-    if keep:
-        costs = costs.persist()
-    return Aggregation(**{name: table(costs, GROUP) for name, (table, _) in TABLES.items()}, stats=src.stats(profiles), blocking=blk.blocking(profiles, threshold))
+    return Aggregation(stored(condensed(tree.node_costs(profiles))), src.stats(profiles), lambda: blk.blocking(profiles, threshold))
+
+
+def from_partials(sums: DataFrame, stats: DataFrame, blocking: Callable[[], blk.Blocking]) -> Aggregation:
+    """The same from stored sums and stats per profile (PROFILE and their columns)."""
+    return Aggregation(stored(condensed(sums)), merged(stats, ()), blocking)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from emberscope.operators import tree
 from emberscope.options import STACK_FRAMES, STALLS
+from emberscope.sources.sinks import stored
 
 EPISODE = ("group_id", "profile_id", "member_rank", "episode")
 
@@ -32,13 +33,6 @@ def samples(profiles: DataFrame) -> DataFrame:
     return s.join(n, (s.profile_id == n._p) & (s.node_id == n._n), "left").drop("_p", "_n")
 
 
-def busy(samples: DataFrame) -> DataFrame:
-    """Busy samples with the number of the run that they belong to."""
-    gap = F.when(F.col("fn_key").isNull() | (F.col("category") == "idle"), 1).otherwise(0)
-    own = W.partitionBy("profile_id").orderBy("i")
-    return samples.withColumn("episode", F.sum(gap).over(own)).filter(gap == 0)
-
-
 def episodes(busy: DataFrame, threshold: int) -> DataFrame:
     """One row for each run that reaches the threshold: micros, samples, fn (dominant), context (dominant), leaf.
 
@@ -107,8 +101,9 @@ class Blocking:
 
 
 def blocking(profiles: DataFrame, threshold: int) -> Blocking:
-    b = busy(samples(profiles))
-    found = episodes(b, threshold)
+    """Long tasks of ``profiles``; their busy samples and episodes are found once and stored for the tables."""
+    b = stored(tree.busy(profiles))
+    found = stored(episodes(b, threshold))
     stats = block_stats(b, found, "function").unionAll(block_stats(b, found, "context"))
     return Blocking(summary(found, threshold), stats, top_stalls(found), profiles)
 

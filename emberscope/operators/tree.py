@@ -125,6 +125,44 @@ def node_costs(profiles: DataFrame, keep: tuple[str, ...] = ("group_id", "profil
     return rows.mapInArrow(run, f"{kinds}, {OUT}")
 
 
+BUSY = "i bigint, node_id bigint, delta bigint, label string, fn_key string, fn_display string, episode bigint"
+
+
+def busy_of(p: dict):
+    """The busy samples of one profile, numbered, with the number of the run that each is in.
+
+    A sample is busy if its node is known and isn't idle; any other ends a run.
+    """
+    nodes, labels, label_at = {n["id"]: n for n in p["nodes"]}, p["labels"] or [], p["label_at"] or []
+    episode = 0
+    for i, (node, delta) in enumerate(zip(p["samples"], p["deltas"])):
+        n = nodes.get(node)
+        if n is None or n["category"] == "idle":
+            episode += 1
+            continue
+        at = label_at[i] if i < len(label_at) else -1
+        yield i, node, delta, labels[at] if 0 <= at < len(labels) else None, n["fn_key"], n["fn_display"], episode
+
+
+def busy(profiles: DataFrame, keep: tuple[str, ...] = ("group_id", "profile_id", "member_rank")) -> DataFrame:
+    """``keep`` and a row for each busy sample of every profile; samples and nodes lie in one row, so nothing is shuffled."""
+    rows = profiles.select(*keep, "nodes", "samples", "deltas", "labels", "label_at")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = [{"bigint": pa.int64(), "string": pa.string()}[x.split()[1]] for x in BUSY.split(", ")]
+        for batch in batches:
+            for p in batch.to_pylist():
+                columns = list(zip(*busy_of(p)))
+                if columns:
+                    own = [pa.array([p[c]] * len(columns[0]), batch.schema.field(i).type) for i, c in enumerate(keep)]
+                    yield pa.RecordBatch.from_arrays([*own, *map(pa.array, columns, types)], [*keep, *[x.split()[0] for x in BUSY.split(", ")]])
+
+    return rows.mapInArrow(run, f"{kinds}, {BUSY}")
+
+
 def stacks(stalls: DataFrame, profiles: DataFrame, frames: int) -> DataFrame:
     """``stalls`` (profile_id, leaf_node, ...) with ``stack``: displays from the root, the innermost ``frames``.
 

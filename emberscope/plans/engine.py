@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberscope.functions.numbers import iso_time, rounded
+from emberscope.functions.objects import partial_key
 from emberscope.operators import aggregate as agg
 from emberscope.operators import blocking as blk
 from emberscope.operators import breakdown as brk
-from emberscope.operators import matrix
+from emberscope.operators import matrix, tree
 from emberscope.options import UPLOAD_ENV, CompareOptions, Config, GroupId, NotFound, Window
 from emberscope.sources import profiles as src
 from emberscope.sources import store
+from emberscope.sources.sinks import PartialStore, stored
 
 
 @dataclass
@@ -39,10 +41,14 @@ class Comparison:
 
 
 class Engine:
-    """``base`` and ``root`` say where objects are; without ``base`` there are only uploads."""
+    """``base`` and ``root`` say where objects are; without ``base`` there are only uploads.
 
-    def __init__(self, spark: SparkSession, base: str | None = None, root: str = "", config: Config | None = None):
+    With ``partials``, a folder, an object is parsed and walked the first time that it is asked for, and its sums come from there later.
+    """
+
+    def __init__(self, spark: SparkSession, base: str | None = None, root: str = "", config: Config | None = None, partials: str | None = None):
         self.spark, self.config = spark, config or Config()
+        self.partials = PartialStore(spark, partials) if partials else None
         self.objects = store.ObjectStore(spark, base, root) if base else None
         self.uploads = store.UploadStore(spark)
 
@@ -57,8 +63,12 @@ class Engine:
         """The next level below the given fields; ``upload`` is an environment once something is uploaded."""
         if env == UPLOAD_ENV:
             return "build_tag", store.groups(self.uploads.members("", service, date))
+        level = store.level_below(env, service, date)
         if self.objects is None:
             level, found = "env", self.spark.createDataFrame([], "name string")
+        elif level != "build_tag":
+            names = self.objects.children(env, service, date)
+            found = self.spark.createDataFrame([(n,) for n in names], "name string").orderBy("name")
         else:
             level, found = store.browse(self.objects.members(env, service, date), env, service, date)
         if not env and uploads and self.uploads.rows:
@@ -83,21 +93,41 @@ class Engine:
             raise NotFound(f"group {str(gid)!r} has no profiles in the requested time window")
         return store.sampled(inside, self.config.sample_size)
 
-    def profiles(self, gids: list[GroupId], window: Window | None = None) -> tuple[DataFrame, DataFrame]:
-        """(profiles, members) of several groups; only sampled members are read."""
-        parts, lists = [], []
-        for gid in dict.fromkeys(gids):
-            m = self.planned(gid, window)
-            lists.append(m.drop("content"))
-            parts.append(self.store_of(gid.env).contents(m).select("group_id", F.col("raw").alias("profile_id"), "member_rank", "content"))
-        objects, members = parts[0], lists[0]
-        for p, m in zip(parts[1:], lists[1:]):
-            objects, members = objects.unionByName(p), members.unionByName(m)
-        return src.profiles(objects), members
+    def members_of(self, gids: list[GroupId], window: Window | None = None) -> tuple[list[DataFrame], DataFrame]:
+        """The members to read of each group, and of all of them."""
+        plans = [self.planned(gid, window).drop("content") for gid in dict.fromkeys(gids)]
+        out = plans[0]
+        for m in plans[1:]:
+            out = out.unionByName(m)
+        return plans, out
+
+    def profiles(self, gids: list[GroupId], plans: list[DataFrame], but: DataFrame | None = None) -> DataFrame:
+        """Profiles of the planned members of several groups, read from their stores; without those in ``but`` (raw)."""
+        objects = None
+        for gid, m in zip(dict.fromkeys(gids), plans):
+            m = m if but is None else m.join(but, "raw", "left_anti")
+            part = self.store_of(gid.env).contents(m).select("group_id", F.col("raw").alias("profile_id"), "member_rank", F.col("size").alias("size"), "content")
+            objects = part if objects is None else objects.unionByName(part)
+        return src.profiles(objects)
 
     def aggregation(self, gids: list[GroupId], window: Window | None = None) -> tuple[agg.Aggregation, DataFrame]:
-        found, members = self.profiles(gids, window)
-        return agg.aggregate(found.persist(), self.config.block_threshold_micros, keep=True), members
+        plans, members = self.members_of(gids, window)
+        threshold = self.config.block_threshold_micros
+        blocking = lambda: blk.blocking(self.profiles(gids, plans), threshold)
+        if self.partials is None:
+            found = self.profiles(gids, plans)
+            return agg.Aggregation(stored(agg.condensed(tree.node_costs(found))), src.stats(found), blocking), members
+        key = lambda raw: partial_key(F.col(raw), F.col("size"), threshold)
+        wanted = members.select("group_id", "member_rank", F.col("raw").alias("profile_id"), key("raw").alias("object_key"))
+        known = wanted.join(self.partials.keys(), "object_key").select(F.col("profile_id").alias("raw"))
+        new = self.profiles(gids, plans, stored(known)).withColumn("object_key", key("profile_id"))
+        if not new.isEmpty():
+            own = ("object_key", "member_rank")
+            self.partials.add(agg.condensed(tree.node_costs(new, own), ("object_key",)), src.stats(new, ("object_key",)))
+        # A member's rank is its place among what was asked for now, not when it was stored.
+        rank = F.col("member_rank").cast("bigint")
+        sums = self.partials.read("sums", wanted).withColumns({c: F.struct(rank.alias("member_rank"), F.col(f"{c}.node").alias("node")) for c in ("first_at", "last_at")})
+        return agg.from_partials(sums, self.partials.read("stats", wanted), blocking), members
 
     def group(self, gid: GroupId) -> DataFrame:
         """A group's sums over its sampled profiles, not means."""

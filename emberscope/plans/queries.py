@@ -14,6 +14,7 @@ from emberscope.options import Window
 from emberscope.plans import tables as t
 from emberscope.sources import profiles as src
 from emberscope.sources import store
+from emberscope.sources.sinks import stored
 
 GROUPS = ["g0", "g1", "g2"]
 HANDLE, PURCHASE, PROGRAM = "5:10:handle", "8:3:purchase", ":1:(program)"
@@ -70,7 +71,7 @@ def ctx_entities(spark, d):
 
 
 def _episodes(spark, d):
-    b = blk.busy(blk.samples(t.event_profiles(spark, d)))
+    b = stored(tree.busy(t.event_profiles(spark, d)))
     return b, blk.episodes(b, THRESHOLD)
 
 

@@ -59,6 +59,12 @@ class ObjectStore:
         listing = files.select(name.alias("raw"), F.col("length").alias("size"), "path")
         return matching(members_of(listing, self.root), env, service, date, build_tag)
 
+    def children(self, *fields: str) -> list[str]:
+        """Names of the folders right below the given leading fields; nothing deeper is listed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{objects.filter_prefix(self.root, *fields)}")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in system.listStatus(path) if f.isDirectory()) if system.exists(path) else []
+
     def contents(self, members: DataFrame) -> DataFrame:
         """``members`` with their content, reading their objects only."""
         rows = members.collect()
@@ -96,9 +102,14 @@ class UploadStore:
         return any(r[0] == str(gid) for r in self.rows)
 
 
+def level_below(env: str = "", service: str = "", date: str = "") -> str:
+    """The first field that isn't given."""
+    return next((c for c, v in zip(LEVELS, (env, service, date)) if not v), "build_tag")
+
+
 def browse(members: DataFrame, env: str = "", service: str = "", date: str = "") -> tuple[str, DataFrame]:
     """The next level's name and its values; at the last level groups with counts, sizes and times."""
-    level = next((c for c, v in zip(LEVELS, (env, service, date)) if not v), "build_tag")
+    level = level_below(env, service, date)
     here = matching(members, env, service, date)
     if level != "build_tag":
         return level, here.select(F.col(level).alias("name")).distinct().orderBy("name")

@@ -39,8 +39,10 @@ def writer(objects: DataFrame, folder: str, root: str = "") -> DataStreamWriter:
     """A writer that keeps ``folder``'s partial tables up to date with the stream."""
 
     def batch(df: DataFrame, number: int) -> None:
-        for name, table in agg.partials(profiles_of(df, root).persist()).items():
+        profiles = profiles_of(df, root).persist()
+        for name, table in agg.partials(profiles).items():
             table.write.mode("overwrite").parquet(f"{folder}/v{FORMAT_VERSION}/{name}/batch={number}")
+        profiles.unpersist()
 
     return objects.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/_progress")
 
