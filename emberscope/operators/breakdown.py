@@ -65,6 +65,8 @@ def stitched(agg, key: str, depth: int = STITCH_DEPTH) -> DataFrame:
     opens = f.select(F.col("_k").alias("node"), transparent(F.col("_display"), F.col("_package")).alias("open")).filter("open")
     opens = opens.join(inbound, "node").filter("inbound > 0")
     up = edge.join(opens.select(F.col("node").alias("callee"), "inbound"), "callee").select("callee", F.col("caller"), (F.col("micros") / F.col("inbound")).alias("ratio"))
+    # A climb is bounded by its depth and its paths, not by a number of rows.
+    agg.edge.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return agg.edge.sparkSession.sql(
         f"""
         WITH RECURSIVE climb (node, micros, samples, hopped, path, depth) MAX RECURSION LEVEL {depth + 4} AS (

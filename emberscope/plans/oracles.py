@@ -123,6 +123,21 @@ UNION ALL SELECT dim || 's', key, key, CASE WHEN dim = 'file' THEN package ELSE
   FROM g1 JOIN dims ON dims.name = g1.event_type WHERE label = 'GET /1' AND dim <> 'function' GROUP BY dim, dims.key) WHERE {where}""")
 
 
+def neighbours(category: str = "true") -> str:
+    """Callers and callees of handle in g1."""
+    hops = "FROM g1 JOIN hop c USING (event_type) JOIN hop h ON h.event_type = c.event_type AND h.pos = c.pos + 1"
+    return f"""SELECT 'callers' AS section, f.key, f.display, f.package, m AS total, 0 AS self, 0 AS of_function, 0 AS of_context, m AS r1, 0 AS r2 FROM (SELECT c.name, sum(d) AS m
+  {hops} WHERE h.name = 'handle' GROUP BY 1) JOIN f USING (name) WHERE {category}
+UNION ALL SELECT 'callees', f.key, f.display, f.package, m, 0, 0, 0, m, 0 FROM (SELECT h.name, sum(d) AS m {hops} WHERE c.name = 'handle' GROUP BY 1) JOIN f USING (name) WHERE {category}"""
+
+
+def top_blocked(dim: str, top: int) -> str:
+    names = "LEFT JOIN f USING (key)" if dim == "function" else ""
+    display = "coalesce(display, key)" if dim == "function" else "key"
+    return f"""WITH {EVENTS}, bs AS ({block_stats(dim)}) SELECT key, {display} AS display, blocked_micros, episodes, max_episode_micros FROM bs {names} WHERE group_id = 'g0'
+ORDER BY blocked_micros DESC, {display}, key LIMIT {top}"""
+
+
 HOST, PATH = "split_part(p, '/', 1)", "regexp_replace(url, '^[a-z]+://', '')"
 SQL = {
     "self_by_function": self_of("function"), "self_by_package": self_of("package"), "self_by_file": self_of("file"),
@@ -176,10 +191,25 @@ JOIN f ON f.name = h.name WHERE c.name = 'handle' AND group_id = 'g0' GROUP BY 1
 SELECT s AS key, round(CAST(sum(2 * q) AS DOUBLE), 3) AS total_micros, true AS hopped FROM q WHERE t <> 't3' GROUP BY 1 UNION ALL SELECT 't3', CAST(sum(2 * q) AS DOUBLE), false FROM q WHERE t = 't3' HAVING count(*) > 0""",
     "function_breakdown": breakdown(f"""SELECT 'callers' AS section, f.key, f.display, f.package, m AS total, 0 AS self, 0 AS of_function, 0 AS of_context, m AS r1, 0 AS r2
   FROM (SELECT sum(d) AS m FROM g1 WHERE event_type = 'purchase') JOIN f ON f.name = 'handle' UNION ALL {function_contexts("purchase", False)}"""),
-    "function_contexts_by_share": breakdown(f"""SELECT 'callers' AS section, f.key, f.display, f.package, m AS total, 0 AS self, 0 AS of_function, 0 AS of_context, m AS r1, 0 AS r2 FROM (SELECT c.name, sum(d) AS m
-  FROM g1 JOIN hop c USING (event_type) JOIN hop h ON h.event_type = c.event_type AND h.pos = c.pos + 1 WHERE h.name = 'handle' GROUP BY 1) JOIN f USING (name)
-UNION ALL SELECT 'callees', f.key, f.display, f.package, m, 0, 0, 0, m, 0 FROM (SELECT h.name, sum(d) AS m FROM g1 JOIN hop c USING (event_type) JOIN hop h ON h.event_type = c.event_type AND h.pos = c.pos + 1
-  WHERE c.name = 'handle' GROUP BY 1) JOIN f USING (name) UNION ALL {function_contexts("handle", True)}""", 3),
+    "function_contexts_by_share": breakdown(f"{neighbours()} UNION ALL {function_contexts('handle', True)}", 3),
+    "function_breakdown_filtered": breakdown(f"{neighbours("category = 'user'")} UNION ALL {function_contexts('handle', False)}"),
+    "package_breakdown_filtered": breakdown(members("functions", "function", "package = 'app:src/services' AND category = 'native'") + " UNION ALL " + ends_in("package", "app:src/services")),
+    "file_breakdown_filtered": breakdown(members("functions", "function", "file = '(native)' AND category = 'native'") + " UNION ALL " + ends_in("file", "(native)")),
+    "blocking_functions_ranked": top_blocked("function", 2), "blocking_contexts_ranked": top_blocked("context", 3),
+    "hit_counts": """WITH h AS (SELECT r_name AS g, n_name, c_custkey // 250 AS run, c_custkey, count(o_orderkey) AS h FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL), p AS (SELECT *, sum(h) OVER (PARTITION BY n_name, run) AS whole FROM h)
+SELECT g AS group_id, '1:1:k' || (c_custkey % 3) AS key, CAST(sum(h) AS BIGINT) AS self_samples, CAST(sum(CASE WHEN whole > 0 THEN h * 10000000 // whole ELSE 0 END) AS BIGINT) AS self_micros FROM p GROUP BY 1, 2""",
+    "unknown_nodes": f"""WITH {EVENTS}, k AS (SELECT * FROM s WHERE event_type <> 'signup')
+SELECT g.group_id, f.key, count(k.d) AS self_samples, CAST(coalesce(sum(k.d), 0) AS BIGINT) AS self_micros FROM g CROSS JOIN f LEFT JOIN k ON k.group_id = g.group_id AND k.event_type = f.name GROUP BY 1, 2
+UNION ALL SELECT group_id, 'busy', count(*), CAST(sum(d) AS BIGINT) FROM k WHERE event_type <> 'error' GROUP BY 1""",
+    "merged_labels": f"WITH {EVENTS} SELECT group_id, dim, key, display, package, category, file FROM x",
+    "stitched_hops": """WITH RECURSIVE q AS (SELECT 's' || (l_suppkey % 10) AS s, 't' || (p_size % 4) AS t, 'm' || (l_linenumber % 2) AS m, CAST(round(l_quantity) AS BIGINT) AS q FROM lineitem JOIN part ON l_partkey = p_partkey),
+edge AS (SELECT caller, callee, CAST(sum(q) AS DOUBLE) AS micros FROM (SELECT s AS caller, t AS callee, q FROM q UNION ALL SELECT t, m, q FROM q UNION ALL SELECT m, 'sink', q FROM q
+  UNION ALL SELECT m, 't1', q FROM q WHERE m = 'm0' AND t = 't1') GROUP BY 1, 2),
+up AS (SELECT caller, callee, micros / sum(micros) OVER (PARTITION BY callee) AS ratio FROM edge WHERE callee IN ('t0', 't1', 't2', 'm0', 'm1')),
+climb(node, micros, hopped, path, depth) AS (SELECT caller, micros, false, CAST([] AS VARCHAR[]), 0 FROM edge WHERE callee = 'sink'
+  UNION ALL SELECT u.caller, c.micros * u.ratio, true, list_append(c.path, c.node), c.depth + 1 FROM climb c JOIN up u ON u.callee = c.node WHERE NOT list_contains(c.path, c.node) AND c.depth < 16)
+SELECT node AS key, round(sum(micros), 3) AS total_micros, bool_or(hopped) AS hopped FROM climb WHERE node NOT IN (SELECT callee FROM up) OR list_contains(path, node) OR depth >= 16 GROUP BY 1""",
     "package_breakdown": breakdown(members("functions", "function", "package = 'app:src/services'") + " UNION ALL " + members("files", "file", "package = 'app:src/services'") + " UNION ALL " + ends_in("package", "app:src/services")),
     "file_breakdown": breakdown(members("functions", "function", "file = '(native)'") + " UNION ALL " + ends_in("file", "(native)")),
     "context_breakdown": context_breakdown(), "context_breakdown_filtered": context_breakdown("category IN ('user', 'node_modules')", True),

@@ -199,6 +199,55 @@ def _breakdown(dim: str, key: str, **options):
     return query
 
 
+def stitched_hops(spark, d):
+    """Callers of the sink through two levels of transparent frames, one of which is called back by the other level."""
+    return brk.stitched(hop_group(spark, d), "sink").select("key", F.round("total_micros", 3).alias("total_micros"), "hopped")
+
+
+def hop_group(spark, d) -> Group:
+    """Edges from line items: suppliers call part types (t), those call trampolines (m), those the sink; m0 calls t1, a cycle."""
+    li, p = t.read(spark, d, "lineitem"), t.read(spark, d, "part")
+    named = lambda prefix, of, n: F.concat(F.lit(prefix), (F.col(of) % n).cast("string"))
+    rows = li.join(p, li.l_partkey == p.p_partkey).select(named("s", "l_suppkey", 10).alias("s"), named("t", "p_size", 4).alias("t"), named("m", "l_linenumber", 2).alias("m"), F.round("l_quantity").cast("bigint").alias("q"))
+    by = rows.groupBy("s", "t", "m").agg(F.sum("q").alias("q"))
+    edge = lambda caller, callee, where="true": by.filter(where).select(F.col(caller).alias("caller"), callee.alias("callee"), F.col("q").alias("total_samples"), F.col("q").alias("total_micros"))
+    edges = edge("s", F.col("t")).unionAll(edge("t", F.col("m"))).unionAll(edge("m", F.lit("sink"))).unionAll(edge("m", F.lit("t1"), "m = 'm0' AND t = 't1'"))
+    edges = edges.groupBy("caller", "callee").agg(F.sum("total_samples").alias("total_samples"), F.sum("total_micros").alias("total_micros")).withColumn("group_id", F.lit("g"))
+    names = edges.select(F.explode(F.array("caller", "callee")).alias("key")).distinct()
+    display = F.when(F.col("key").isin("t0", "t1", "t2", "m0", "m1"), F.lit("runMicrotasks")).otherwise(F.col("key"))
+    return Group(edges, names.select(F.lit("g").alias("group_id"), F.lit("function").alias("dim"), "key", display.alias("display"), F.lit("app:x").alias("package"), F.lit("user").alias("category")))
+
+
+def hit_counts(spark, d):
+    """Own costs of profiles without samples: hits, and their share of the profile's time."""
+    p = t.order_profiles(spark, d)
+    hits = F.transform("nodes", lambda n: n.withField("hits", F.size(F.filter("samples", lambda s: s == n["id"])).cast("bigint")))
+    none = F.lit([]).cast("array<bigint>")
+    p = p.withColumn("nodes", hits).withColumns({"samples": none, "deltas": none, "end_us": F.lit(10_000_000).cast("bigint")})
+    return agg.entities(tree.node_costs(p)).filter("dim = 'function'").select("group_id", "key", "self_samples", "self_micros")
+
+
+def unknown_nodes(spark, d):
+    """Samples of a node that the tree doesn't have count for nothing and end a long task."""
+    p = t.event_profiles(spark, d).withColumn("samples", F.transform("samples", lambda s: F.when(s == t.NODE_OF["signup"], 99).otherwise(s)))
+    own = agg.entities(tree.node_costs(p)).filter("dim = 'function'").select("group_id", "key", "self_samples", "self_micros")
+    return own.unionAll(tree.busy(p).groupBy("group_id").agg(F.count("*").alias("self_samples"), F.sum("delta").alias("self_micros")).select("group_id", F.lit("busy").alias("key"), "self_samples", "self_micros"))
+
+
+def merged_labels(spark, d):
+    """Names that entities keep when profiles' partial results are merged."""
+    parts = agg.entities(tree.node_costs(t.event_profiles(spark, d)), agg.PROFILE)
+    return agg.merged(parts, ("dim", "key")).select("group_id", "dim", "key", "display", "package", "category", "file")
+
+
+def ranked_blocking(dim: str, top_n: int):
+    def query(spark, d):
+        a = events(spark, d).of("g0")
+        return blk.view(a.blocking.stats, a.entity, dim, top_n).select("key", "display", "blocked_micros", "episodes", "max_episode_micros")
+
+    return query
+
+
 def asof_label(spark, d):
     e = t.read(spark, d, "events")
     s = e.select("user_id", "event_id", t.micros(e.ts).alias("at"))
@@ -222,4 +271,7 @@ QUERIES = {
     "stitched_callers": stitched_callers, "function_breakdown": _breakdown("function", PURCHASE, stitch=False), "function_contexts_by_share": _breakdown("function", HANDLE, context_sort="pctOfContext", top_n=3),
     "package_breakdown": _breakdown("package", "app:src/services"), "file_breakdown": _breakdown("file", "(native)"), "context_breakdown": _breakdown("context", "GET /1"),
     "context_breakdown_filtered": _breakdown("context", "GET /1", categories=("user", "node_modules")), "asof_label": asof_label, "sample_clock": sample_clock,
+    "function_breakdown_filtered": _breakdown("function", HANDLE, stitch=False, categories=("user",)), "package_breakdown_filtered": _breakdown("package", "app:src/services", categories=("native",)),
+    "file_breakdown_filtered": _breakdown("file", "(native)", categories=("native",)), "stitched_hops": stitched_hops, "hit_counts": hit_counts, "unknown_nodes": unknown_nodes, "merged_labels": merged_labels,
+    "blocking_functions_ranked": ranked_blocking("function", 2), "blocking_contexts_ranked": ranked_blocking("context", 3),
 }
