@@ -45,11 +45,6 @@ def sort_key(values: Column, mode: str) -> Column:
     return F.greatest(F.lit(0.0), F.array_max(values))
 
 
-def change(first: Column, last: Column, is_pct: bool) -> Column:
-    """The change that a table shows: points for a percentage, else percent of the first value, null without one."""
-    return last - first if is_pct else F.when(first != 0, (last - first) / first * 100)
-
-
 def iso_time(ts: Column) -> Column:
     """RFC 3339 in UTC to the second, empty for null."""
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))

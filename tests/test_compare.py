@@ -48,13 +48,17 @@ def test_averages_and_busy_share(spark):
 
 
 def test_delta_sorts(spark):
-    e = [("1", "function", "a", "", "user", 100, 0), ("2", "function", "a", "", "user", 110, 0), ("2", "function", "b", "", "user", 50, 0), ("1", "function", "c", "", "user", 90, 0), ("2", "function", "c", "", "user", 80, 0)]
+    """Largest cell, largest gain and largest relative gain put other keys first; what is new has no relative gain to compare."""
+    costs = {"big": (900, 860), "grown": (300, 420), "doubled": (40, 90), "new": (0, 55), "gone": (25, 0)}
+    e = [(g, "function", k, "", "user", v, 0) for k, of in costs.items() for g, v in zip(("1", "2"), of) if v]
     a = Agg(spark, e, stats=(("1", 1), ("2", 1)))
     order = lambda sort: [r["key"] for r in rows(matrix.compare(a, ["1", "2"], sort=sort))]
-    assert (order("max"), order("delta"), order("deltaPct")) == (["a", "c", "b"], ["b", "a", "c"], ["b", "a", "c"])
-    b = next(r for r in rows(matrix.compare(a, ["1", "2"])) if r["key"] == "b")
-    assert (b["delta"], b["delta_pct"], b["cells"][0]["self_micros"]) == (50, 0, 0)
-    assert len(rows(matrix.compare(a, ["1", "2"], top_n=2))) == 2
+    assert order("max") == ["big", "grown", "doubled", "new", "gone"]
+    assert order("delta") == ["grown", "new", "doubled", "gone", "big"]
+    assert order("deltaPct") == ["new", "doubled", "grown", "big", "gone"]
+    got = {r["key"]: r for r in rows(matrix.compare(a, ["1", "2"]))}
+    assert [(got[k]["delta"], got[k]["delta_pct"]) for k in ("new", "doubled", "gone")] == [(55, 0), (50, 125), (-25, -100)]
+    assert got["new"]["cells"][0]["self_micros"] == 0 and len(rows(matrix.compare(a, ["1", "2"], top_n=2))) == 2
 
 
 def test_context_rows_and_filter(spark):

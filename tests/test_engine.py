@@ -1,12 +1,16 @@
 """Stored and uploaded profiles end to end."""
 
 import datetime
+import shutil
+from collections import Counter
 
 import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
 
 from emberscope.functions import objects
+from emberscope.operators import aggregate as agg
+from emberscope.operators import tree
 from emberscope.options import BadRequest, CompareOptions, Config, GroupId, NotFound, Window, clamped, parsed_top_n
 from emberscope.plans.engine import Engine
 from emberscope.sources import sinks, store
@@ -53,9 +57,9 @@ def test_browse(spark, base):
 def test_group_and_compare(spark, base):
     e = Engine(spark, base)
     g = e.group(V2).first()
-    assert (g.self_micros, g.profile_count, g.total_profiles) == (3, 1, 1)
+    assert (g.self_micros, g.profile_count, g.total_profiles) == (21, 1, 1)
     c = e.compare([V1, GroupId("prod", "api", "", "latest")], CompareOptions(sort="delta"))
-    assert c.groups == [str(V1), str(V2)] and c.rows.first().key == "1:10:b"
+    assert c.groups == [str(V1), str(V2)] and c.rows.first().key == "1:30:parse"
     s, r = c.rounded()
     assert {x.group_id: x.first_ts for x in s.collect()} == {str(V1): "1970-01-01T00:00:01Z", str(V2): "1970-01-01T00:00:03Z"} and "trend" not in r.columns
     early = Window(end=datetime.datetime(1970, 1, 1, 0, 0, 1, tzinfo=datetime.timezone.utc))
@@ -68,13 +72,13 @@ def test_group_and_compare(spark, base):
 
 def test_breakdown_and_blocking(spark, base):
     e = Engine(spark, base)
-    rows = e.breakdown(V1, "function", "1:6:hydrate", focus="contexts").collect()
-    assert {(r.key, r.total_micros) for r in rows} == {("A", 0.5), ("B", 1.0)}
+    rows = e.breakdown(V1, "function", "1:53:fill", focus="contexts").collect()
+    assert {(r.key, r.total_micros) for r in rows} == {("A", 2.5), ("B", 1.5)}
     b = e.blocking(V1)
     head = b["summary"].first()
-    assert (head.episodes, head.episodes_per_profile, head.blocked_micros_per_profile) == (2, 1.0, 70000.0)
-    assert [r.display for r in b["functions"].collect()] == ["workA (/srv/src/a.js:10)", "workB (/srv/src/b.js:5)"]
-    assert b["stalls"].first().stack[-1] == "workA (/srv/src/a.js:10)"
+    assert (head.episodes, head.episodes_per_profile, head.blocked_micros_per_profile) == (2, 1.0, 80500.0)
+    assert [r.display for r in b["functions"].collect()] == ["crunch (/srv/src/jobs/crunch.js:21)", "pack (/srv/src/jobs/pack.js:3)"]
+    assert b["stalls"].first().stack[-1] == "crunch (/srv/src/jobs/crunch.js:21)"
     none = Engine(spark, base, config=Config(block_threshold_micros=10**9)).blocking(V1)["summary"].first()
     assert (none.episodes, none.threshold_micros) == (0, 0)
 
@@ -89,17 +93,18 @@ def test_uploads(spark):
 
 def test_names(spark):
     cases = {
-        ("", "profiles/prod/api/2024-06-05/v1.2.3/1717608923000_api-prod-01_12847.cpuprofile"): ("api-prod-01", 12847, 1717608923000),
-        ("tenants/acme", "tenants/acmeprofiles/prod/web/2025-01-02/build-456/1700000000000_host01_42.cpuprofile"): ("host01", 42, 1700000000000),
-        ("", "profiles/staging/svc/2025-12-31/abc1234-567/1700000001234_pod_abc_123_9.cpuprofile"): ("pod_abc_123", 9, 1700000001234),
-        ("", "profiles/staging/svc/2025-12-31/x/5__9.cpuprofile"): ("", 9, 5),
-        ("", "profiles/a/b/2024-6-05/v/1_h_1.cpuprofile"): None,
-        ("", "profiles/a/b/2024-02-30/v/1_h_1.cpuprofile"): None,
-        ("", "profiles/a/b/2024-06-05/v/nounderscores.cpuprofile"): None,
-        ("", "profiles/a/b/2024-06-05/v/1_2.cpuprofile"): None,
-        ("", "wrong/a/b/2024-06-05/v/1_h_1.cpuprofile"): None,
-        ("", "profiles/a/b/2024-06-05/v/1_h_1.txt"): None,
-        ("", "profiles/a/b/2024-06-05/v/x_h_1.cpuprofile"): None,
+        ("", "profiles/live/cart/2031-03-09/r77/1930000000123_box-7_311.cpuprofile"): ("box-7", 311, 1930000000123),
+        ("team/", "team/profiles/live/mail/2030-11-30/nightly/1900000000000_m_1_2_8.cpuprofile"): ("m_1_2", 8, 1900000000000),
+        ("t", "tprofiles/qa/cart/2031-01-31/r1/77_h_5.cpuprofile"): ("h", 5, 77),
+        ("", "profiles/qa/cart/2031-01-31/r1/12__4.cpuprofile"): ("", 4, 12),
+        ("", "profiles/qa/cart/2031-1-31/r1/12_h_4.cpuprofile"): None,
+        ("", "profiles/qa/cart/2031-02-29/r1/12_h_4.cpuprofile"): None,
+        ("", "profiles/qa/cart/2031-01-31/r1/plain.cpuprofile"): None,
+        ("", "profiles/qa/cart/2031-01-31/r1/12_4.cpuprofile"): None,
+        ("", "other/qa/cart/2031-01-31/r1/12_h_4.cpuprofile"): None,
+        ("", "profiles/qa/cart/2031-01-31/r1/12_h_4.json"): None,
+        ("", "profiles/qa/cart/2031-01-31/r1/soon_h_4.cpuprofile"): None,
+        ("", "profiles/qa/cart/2031-01-31/12_h_4.cpuprofile"): None,
     }
     for (root, name), want in cases.items():
         df = spark.createDataFrame([(name,)], "raw string")
@@ -135,6 +140,32 @@ def test_options():
             bad()
 
 
+def test_partials_are_read_instead_of_objects(spark, base, tmp_path, monkeypatch):
+    plain, cached = Engine(spark, base), Engine(spark, base, partials=str(tmp_path / "kept"))
+    tables = lambda e: {n: Counter(map(str, getattr(e.aggregation([V1, V2])[0], n).collect())) for n in (*agg.TABLES, "stats")}
+    want = tables(plain)
+    assert tables(cached) == want
+    seen = []
+    walk = tree.node_costs
+    monkeypatch.setattr(tree, "node_costs", lambda *a: seen.append(a) or walk(*a))
+    assert tables(cached) == want and not seen  # nothing is walked again
+    keys = cached.partials.keys().collect()
+    assert len(keys) == 3
+    # A batch that is there twice, as after a rerun, counts once.
+    for name in ("sums", "stats"):
+        folder = tmp_path / "kept" / "v1" / name
+        batch = next(folder.glob("batch=*"))
+        shutil.copytree(batch, folder / "batch=zz-again")
+    assert tables(cached) == want and cached.compare([V1, V2]).rows.count() == plain.compare([V1, V2]).rows.count()
+
+
+def test_partial_names_depend_on_the_object(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "raw string, size long")
+    key = lambda threshold: [r[0] for r in df.select(objects.partial_key(df.raw, df.size, threshold)).collect()]
+    assert len({*key(50), *key(60)}) == 6 and key(50) == key(50)
+    assert objects.group_prefix("r/", "live", "cart", "2031-01-31", "r1") == "r/profiles/live/cart/2031-01-31/r1/"
+
+
 def test_sinks_and_stream(spark, base, tmp_path):
     e = Engine(spark, base)
     sinks.write_json(e.compare([V1]).rows, str(tmp_path / "out"))
@@ -145,4 +176,4 @@ def test_sinks_and_stream(spark, base, tmp_path):
         q.awaitTermination()
     m = ingest.merged(spark, out)
     assert {r.group_id: r.profile_count for r in m["stats"].collect()} == {str(V1): 2, str(V2): 1, "prod/web/2026-06-20/v2": 1}
-    assert m["entity"].filter(F.col("group_id") == str(V2)).filter("key = '1:10:b'").first().total_micros == 3
+    assert m["entity"].filter(F.col("group_id") == str(V2)).filter("key = '1:30:parse'").first().total_micros == 21

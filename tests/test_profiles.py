@@ -27,24 +27,29 @@ def entity(spark, *texts, dim="function"):
 
 def test_packages(spark):
     cases = [
-        ("file:///app/node_modules/express/lib/router/index.js", "handle", "express", "node_modules"),
-        ("file:///app/node_modules/@nestjs/core/router.js", "route", "@nestjs/core", "node_modules"),
-        ("/usr/src/app/node_modules/lodash/node_modules/foo/x.js", "f", "foo", "node_modules"),
-        ("node:internal/streams/readable", "read", "node:builtin", "native"),
-        ("internal/process/task_queues.js", "tick", "node:builtin", "native"),
-        ("", "(garbage collector)", "(garbage collector)", "native"),
+        # installed packages: plain, scoped, the innermost of nested ones, with backslashes, cut short
+        ("/opt/shop/node_modules/pg/lib/client.js", "query", "pg", "node_modules"),
+        ("file:///opt/shop/node_modules/@acme/log/dist/out.js", "", "@acme/log", "node_modules"),
+        ("/opt/node_modules/a/node_modules/@b/c/node_modules/d/e.js", "f", "d", "node_modules"),
+        ("D:\\shop\\node_modules\\tar\\pack.js", "pack", "tar", "node_modules"),
+        ("/opt/shop/node_modules/", "f", "(unknown)", "node_modules"),
+        # the runtime's own
+        ("node:fs/promises", "open", "node:builtin", "native"),
+        ("internal/timers.js", "listOnTimeout", "node:builtin", "native"),
+        # no script: by name
         ("", "", "(program)", "native"),
-        ("", "someNative", "(native)", "native"),
         ("", "(idle)", "(idle)", "idle"),
-        ("webpack://app/./src/index.js", "main", "(eval)", "user"),
-        ("/usr/src/app/src/services/user.js", "find", "app:src/services", "user"),
-        ("/usr/src/app/dist/controllers/x.js", "handle", "app:controllers", "user"),
-        ("file:///home/me/proj/lib/util.js", "u", "app:home", "user"),
-        ("/srv/dist/main.js", "m", "app:dist", "user"),
-        ("/srv/src/main.js", "m", "app:src", "user"),
-        ("C:\\srv\\node_modules\\left\\x.js", "m", "left", "node_modules"),
-        ("/a/node_modules/", "m", "(unknown)", "node_modules"),
-        ("/", "m", "app:(app)", "user"),
+        ("", "(root)", "(root)", "native"),
+        ("", "Array.map", "(native)", "native"),
+        # own code: by the folder after the last anchor, the anchor itself for a file in it
+        ("webpack://shop/./lib/cart.js", "add", "(eval)", "user"),
+        ("/opt/shop/src/cart/add.js", "add", "app:src/cart", "user"),
+        ("/opt/src/old/src/new/x.js", "x", "app:src/new", "user"),
+        ("/opt/shop/dist/jobs/mail.js", "send", "app:jobs", "user"),
+        ("/opt/shop/dist/boot.js", "boot", "app:dist", "user"),
+        ("/opt/shop/src/boot.js", "boot", "app:src", "user"),
+        ("file:///data/tools/run.js", "run", "app:data", "user"),
+        ("/", "x", "app:(app)", "user"),
     ]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, url string, name string, package string, category string")
     got = df.select("i", frames.package(df.url, df.name).alias("p"), frames.category(df.url, df.name).alias("c")).collect()
@@ -53,29 +58,29 @@ def test_packages(spark):
 
 def test_chain(spark):
     e = entity(spark, fx.chain())
-    assert (e["1:10:b"].self_micros, e["1:10:b"].total_micros) == (2, 3)
-    assert (e["1:1:a"].self_micros, e["1:1:a"].total_micros) == (0, 3)
+    assert (e["1:30:parse"].self_micros, e["1:30:parse"].total_micros) == (14, 21)
+    assert (e["1:4:load"].self_micros, e["1:4:load"].total_micros) == (0, 21)
     edges = {(r.caller, r.callee): r.total_micros for r in agg.edges(tree.node_costs(load(spark, fx.chain(), fx.chain((3, 4))))).collect()}
-    assert edges[("1:1:a", "1:10:b")] == 5
+    assert edges[("1:4:load", "1:30:parse")] == 35
 
 
 def test_recursion_counts_once(spark):
     e = entity(spark, fx.recursion())
-    assert (e["1:1:rec"].self_micros, e["1:1:rec"].total_micros) == (2, 3)
+    assert (e["1:7:descend"].self_micros, e["1:7:descend"].total_micros) == (6, 15)
     rows = agg.edges(tree.node_costs(load(spark, fx.recursion()))).collect()
-    assert {(r.caller, r.callee): r.total_micros for r in rows} == {(":1:(root)", "1:1:rec"): 3, ("1:1:rec", "1:1:rec"): 2, ("1:1:rec", "1:5:leaf"): 1}
-    ctx = agg.function_contexts(tree.node_costs(load(spark, fx.recursion(["A"])))).filter("key = '1:1:rec'").first()
-    assert (ctx.label, ctx.total_micros) == ("A", 3)
+    assert {(r.caller, r.callee): r.total_micros for r in rows} == {(":1:(root)", "1:7:descend"): 15, ("1:7:descend", "1:7:descend"): 11, ("1:7:descend", "1:18:bottom"): 9}
+    ctx = agg.function_contexts(tree.node_costs(load(spark, fx.recursion(["A"])))).filter("key = '1:7:descend'").first()
+    assert (ctx.label, ctx.total_micros) == ("A", 15)
 
 
 def test_contexts(spark):
     costs = tree.node_costs(load(spark, fx.handler()))
-    assert {r.label: r.self_micros for r in agg.contexts(costs).collect()} == {"A": 2, "B": 2}
+    assert {r.label: r.self_micros for r in agg.contexts(costs).collect()} == {"A": 8, "B": 3}
     by_fn = {(r.key, r.label): r.total_micros for r in agg.function_contexts(costs).collect()}
-    assert by_fn[("1:1:handler", "A")] == by_fn[("1:1:handler", "B")] == 2
-    assert (by_fn[("1:6:hydrate", "A")], by_fn[("1:6:hydrate", "B")]) == (1, 2)
+    assert (by_fn[("1:12:serve", "A")], by_fn[("1:12:serve", "B")]) == (8, 3)
+    assert (by_fn[("1:53:fill", "A")], by_fn[("1:53:fill", "B")]) == (5, 3)
     files = {(r.label, r.key): r.self_micros for r in agg.context_entities(costs).filter("dim = 'file'").collect()}
-    assert files == {("A", "/srv/app/h.js"): 2, ("B", "/srv/app/h.js"): 2}
+    assert files == {("A", "/srv/app/web.js"): 8, ("B", "/srv/app/web.js"): 3}
 
 
 def test_merge_equals_direct(spark):
@@ -117,16 +122,16 @@ def test_bad_profiles_fail(spark, text):
 
 def test_blocking(spark):
     b = blk.blocking(load(spark, fx.blocked()), 50_000)
-    assert b.summary.first()[1:] == (2, 140000, 80000, 50000)
+    assert b.summary.first()[1:] == (2, 161000, 91000, 50000)
     s = {(r.dim, r.key): (r.blocked_micros, r.episodes, r.max_episode_micros) for r in b.stats.collect()}
-    assert s == {("function", "wa:10:workA"): (80000, 1, 80000), ("function", "wb:5:workB"): (60000, 1, 60000), ("context", "GET /a"): (80000, 1, 80000), ("context", "GET /b"): (60000, 1, 60000)}
+    assert s == {("function", "s1:21:crunch"): (91000, 1, 91000), ("function", "s2:3:pack"): (70000, 1, 70000), ("context", "GET /a"): (91000, 1, 91000), ("context", "GET /b"): (70000, 1, 70000)}
     worst = b.stacks().orderBy("rank").first()
-    assert worst.stack == ["(root)", "workA (/srv/src/a.js:10)"] and worst.context == "GET /a" and worst.samples == 1
+    assert worst.stack == ["(root)", "crunch (/srv/src/jobs/crunch.js:21)"] and worst.context == "GET /a" and worst.samples == 1
     assert blk.blocking(load(spark, fx.blocked()), 200_000).summary.count() == 0
     assert blk.blocking(load(spark, fx.blocked()), 0).summary.count() == 0
     twice = blk.blocking(load(spark, fx.blocked(), fx.blocked()), 50_000)
-    assert twice.summary.first()[1:] == (4, 280000, 80000, 50000)
-    assert [r.micros for r in twice.stalls.orderBy("rank").collect()] == [80000, 80000, 60000, 60000]
+    assert twice.summary.first()[1:] == (4, 322000, 91000, 50000)
+    assert [r.micros for r in twice.stalls.orderBy("rank").collect()] == [91000, 91000, 70000, 70000]
 
 
 # Random trees against the plain definition: walk every path.
