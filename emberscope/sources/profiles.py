@@ -20,29 +20,35 @@ JSON = (
 )
 
 
+FIELDS = ("functionName", "scriptId", "url", "lineNumber", "columnNumber")
+
+
+def preorder(tree: dict) -> list[tuple[dict, int]]:
+    """A nested tree's nodes, parents before children, with each one's parent's place (-1 for the root)."""
+    out, todo = [], [(tree, -1)]
+    while todo:
+        node, parent = todo.pop()
+        todo += [(child, len(out)) for child in reversed(node.get("children") or [])]
+        out.append((node, parent))
+    return out
+
+
 def flat_head(text: str | None) -> list | None:
-    """The nodes of a legacy nested tree, parents before children, with ids where the tree gives none."""
+    """The nodes of a legacy nested tree, parents before children, with ids where the tree gives none: the next after the largest so far."""
     if text is None:
         return None
-    out, next_id = [], 1
-    todo = [(json.loads(text), None)]
-    while todo:
-        h, parent = todo.pop()
-        own = h.get("id") or 0
-        if own == 0:
-            own, next_id = next_id, next_id + 1
-        elif own >= next_id:
-            next_id = own + 1
-        frame = h.get("callFrame") or {}
-        if not frame.get("functionName") and not frame.get("url"):
-            frame = h
-        fields = ("functionName", "scriptId", "url", "lineNumber", "columnNumber")
-        node = {"id": own, "callFrame": {f: frame.get(f) for f in fields}, "hitCount": h.get("hitCount") or 0, "children": []}
-        if parent is not None:
-            parent["children"].append(own)
-        out.append(node)
-        todo += [(c, node) for c in reversed(h.get("children") or [])]
-    return out
+    nodes = preorder(json.loads(text))
+    flat, largest = [], 0
+    for node, _ in nodes:
+        frame = node.get("callFrame") or {}
+        frame = frame if frame.get("functionName") or frame.get("url") else node
+        number = node.get("id") or largest + 1
+        largest = max(largest, number)
+        flat.append({"id": number, "callFrame": {f: frame.get(f) for f in FIELDS}, "hitCount": node.get("hitCount") or 0, "children": []})
+    for own, (_, parent) in zip(flat, nodes):
+        if parent >= 0:
+            flat[parent]["children"].append(own["id"])
+    return flat
 
 
 def head_nodes(head: Column) -> Column:
