@@ -8,8 +8,8 @@ Kinds, in the order in which equal starts are listed:
 
 * ``email``, ``ip``, ``card``, ``phone``: base kinds.  Once confirmed (parts at most 255, Luhn,
   number of digits) they are always kept; context only adjusts their score.
-* ``iban``: mod-97 must hold.
-* ``ssn``: three-two-four digits; kept only with a context word near it.
+* ``iban``: mod-97 must hold; compact, or in groups of four with single spaces at its country's length.
+* ``ssn``: three-two-four digits; kept only with a context word before or after it.
 
 Null text counts as empty; empty text has no spans.  Rows that repeat each give their own result.
 Matches don't overlap within a kind; kinds may overlap each other.
@@ -26,6 +26,12 @@ from emberscope.llm.common import CLOSE, OPEN, OTHER, let
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = """
+AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21
+HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22
+SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VG24 XK20
+"""
 
 
 def luhn(digits: Column) -> Column:
@@ -50,6 +56,19 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+def grouped_iban() -> str:
+    """Pattern of IBANs in groups of four: each country's own length, so that a word after one isn't taken with it."""
+    by: dict[int, list[str]] = {}
+    for entry in IBAN_LENGTHS.split():
+        by.setdefault(int(entry[2:]), []).append(entry[:2])
+
+    def body(length: int) -> str:
+        fours, rest = divmod(length - 4, 4)
+        return f"[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{fours}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+
+    return "|".join(f"(?:{'|'.join(names)}){body(length)}" for length, names in sorted(by.items()))
+
+
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -103,9 +122,9 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-        lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"),
-        mod97,
+        rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{grouped_iban()})(?![A-Za-z0-9])",
+        lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4} ?[A-Z0-9]{3}"),
+        lambda v: mod97(F.translate(v, " ", "")),
         score=0.8,
         words=("iban", "account", "bank"),
     ),
@@ -118,7 +137,7 @@ KINDS = (
     ),
 )
 BASE = ("email", "ip", "card", "phone")
-#: Characters before a span in which context words count, what one adds, and what a span other than a base one needs.
+#: Characters before and after a span in which context words count, what one adds, and what a span other than a base one needs.
 NEAR, BONUS, LEAST = 40, 0.3, 0.5
 
 
@@ -146,9 +165,10 @@ def confirmed(t: Column, i: int, kind: Kind) -> Column:
 
     def scored(s: Column) -> Column:
         before = F.lower(F.substring(t, F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR))))
+        after = F.lower(F.substring(t, s["end"] + 1, F.lit(NEAR)))
         near = F.lit(False)
         for w in kind.words:
-            near = near | before.contains(w)
+            near = near | before.contains(w) | after.contains(w)
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, BONUS).otherwise(0.0))
         return F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "value")], score.alias("score"))
 
