@@ -9,9 +9,13 @@ row, so runs agree.
 
 The running sums don't bring a source's rows together: each key falls into one of ``BUCKETS``
 key ranges, sums by range are added up first, and only the rows of one range meet in a window.
+Rows that repeat (id, source and text) have one key, so they go through the windows as one row with
+a count: however many they are, none of them has to meet the others.
 
 Null text has size 0; a null source is a source of its own, last in the order; a null doc_id is
-a key like any other.  Rows that repeat are taken one by one.  Sources of size 0 have target 0.
+a key like any other.  Rows that repeat are taken one by one, the first of them once more than the
+others where the budget ends among them.  Sources of size 0 have target 0.  Sources are numbered and
+levelled in windows of one row for each source.
 Quality weights: ``WEIGHTS`` by label, 1 without one; of several labels the best counts.
 """
 
@@ -21,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed, few_files, first_only
+from emberscope.llm.common import checkpointed, few_files, first_only, rewritten
 
 CYCLE, MOST, BUCKETS = (5.0, 2.0, 1.0), 3, 4096
+#: Rows that repeat more often than this are numbered in parts, and leave one task in parts.
+RUN = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = {1: 2.0, 0: 0.5}
 
@@ -76,10 +82,15 @@ def targets(sums: DataFrame) -> DataFrame:
     return t.select("sk", F.col("s").cast("long").alias("source_size"), F.least(MOST * F.col("s"), F.coalesce(F.col("share") * F.col("w"), MOST * F.col("s"))).alias("target"))
 
 
-def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(doc_id, source, digest, size, source_size, target, copies) for every row of ``docs``."""
-    rows = checkpointed(few_files(keyed(docs, labels)))
-    sums = rows.groupBy("sk", "source", "bucket").agg(F.sum("size").alias("words"))
+def decided(docs: DataFrame, labels: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """(doc_id, sk, digest, size, source_size, target, n, epochs, extra): one row for ``n`` equal rows, each taken ``epochs`` times and ``extra`` of them once more.
+
+    Also whether some row repeats more than ``RUN`` times.
+    """
+    rows = keyed(docs, labels).groupBy("sk", "source", "bucket", "key", "doc_id", "digest", "size").agg(F.count("*").alias("n"))
+    rows = checkpointed(few_files(rows))
+    words = F.col("size") * F.col("n")
+    sums = rows.groupBy("sk", "source", "bucket").agg(F.sum(words).alias("words"))
     t = targets(sums)
     ranges = sums.select("sk", "bucket", F.coalesce(F.sum("words").over(W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     state = ranges.join(t, "sk")
@@ -87,27 +98,55 @@ def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     state = state.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     all_rows = rows.drop("source").join(state, ["sk", "bucket"])
     inside = W.partitionBy("sk", "bucket").orderBy("key", "doc_id", "digest").rowsBetween(W.unboundedPreceding, -1)
-    ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    more = F.when((F.col("rest") > 0) & (ahead + F.col("size") * 0.5 <= F.col("rest")), 1).otherwise(0)
-    return all_rows.select("doc_id", "sk", "digest", "size", "source_size", "target", (F.col("epochs") + more).alias("copies"))
+    ahead = F.col("before") + F.coalesce(F.sum(words).over(inside), F.lit(0))
+    # A row is taken if its middle lies within the rest of the budget; the middles of equal rows are a row's size apart.
+    left = F.col("rest") - (ahead + F.col("size") * 0.5)
+    fit = F.when(F.col("size") > 0, F.floor(left / F.col("size")) + 1).otherwise(F.col("n"))
+    extra = F.when((F.col("rest") > 0) & (left >= 0), F.least(fit, F.col("n"))).otherwise(F.lit(0)).cast("long")
+    return all_rows.select("doc_id", "sk", "digest", "size", "source_size", "target", "n", "epochs", extra.alias("extra")), not rows.filter(F.col("n") > RUN).isEmpty()
+
+
+def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sk, digest, size, source_size, target, copies) for every row of ``docs``."""
+    groups, often = decided(docs, labels)
+    numbers = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    zero, last = F.lit(0).cast("long"), F.col("n") - 1
+    if often:
+        # Parts of RUN rows each are dealt out before they become rows.
+        groups = groups.withColumn("part", numbers(zero, F.floor(last / RUN))).repartition("doc_id", "sk", "digest", "part")
+        zero = F.col("part") * RUN
+        last = F.least(last, zero + RUN - 1)
+    rows = groups.withColumn("number", numbers(zero, last))
+    copies = F.col("epochs") + (F.col("number") < F.col("extra")).cast("long")
+    return rows.select("doc_id", "sk", "digest", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The mix itself: every taken row of ``docs`` as often as it is taken, in the columns of ``docs``.
 
-    Texts move once: equal rows meet by a digest of the whole row and leave as often as the
-    mix takes them together.
+    Texts move once: rows meet their group's decision by a digest.  Where rows repeat often, the joined rows are
+    written, so that Spark may split the join, and moved once more to be numbered.
     """
     names = docs.columns
     sk = F.coalesce(F.concat(F.lit("s"), docs["source"]), F.lit(""))
     digest = F.md5(F.coalesce(docs["text"], F.lit("")))
     key = lambda doc_id, sk, digest: F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), sk, digest)
     rows = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs["doc_id"].alias("_id"), sk.alias("_sk"), digest.alias("_digest"), key(docs["doc_id"], sk, digest).alias("_k"))
-    taken = mix(docs, labels).groupBy("doc_id", "sk", "digest").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).filter("copies > 0")
-    taken = taken.withColumn("k", key(F.col("doc_id"), F.col("sk"), F.col("digest")))
+    groups, often = decided(docs, labels)
+    taken = groups.filter("epochs > 0 or extra > 0").select("doc_id", "sk", "digest", "n", "epochs", "extra", key(F.col("doc_id"), F.col("sk"), F.col("digest")).alias("k"))
     hit = rows.join(taken, (F.col("_k") == F.col("k")) & F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sk") == F.col("sk")) & (F.col("_digest") == F.col("digest")))
-    # n equal rows are taken `copies` times together: the first (copies mod n) of them once more.
-    order = W.partitionBy("_k", "_id", "_sk", "_digest").orderBy(F.lit(1))
-    share = F.when(F.col("n") == 1, F.col("copies")).otherwise(F.floor(F.col("copies") / F.col("n")) + (F.row_number().over(order) <= F.col("copies") % F.col("n")).cast("long"))
-    hit = hit.withColumn("_times", share).filter("_times > 0")
+    same = ("_k", "_id", "_sk", "_digest")
+    before = F.lit(0)
+    if often:
+        # Rows of one task are a part; parts' counts give where each begins.
+        hit, _ = rewritten(hit.withColumn("_part", F.spark_partition_id()), few=False)
+        parts = hit.groupBy(*same, "_part").agg(F.count("*").alias("_rows"))
+        ahead = F.sum("_rows").over(W.partitionBy(*same).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+        parts = parts.select(*[F.col(c).alias(f"{c}p") for c in same], F.col("_part").alias("_at"), F.coalesce(ahead, F.lit(0)).alias("_before"))
+        at = F.col("_part") == F.col("_at")
+        for c in same:
+            at = at & F.col(c).eqNullSafe(F.col(f"{c}p"))
+        hit, same, before = hit.join(parts, at), (*same, "_part"), F.col("_before")
+    number = F.when(F.col("n") == 1, F.lit(0)).otherwise(before + F.row_number().over(W.partitionBy(*same).orderBy(F.lit(1))) - 1)
+    hit = hit.withColumn("_times", F.col("epochs") + (number < F.col("extra")).cast("long")).filter("_times > 0")
     return hit.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
