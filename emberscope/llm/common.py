@@ -76,6 +76,16 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Arrow batches hold at most 16 MB, unless the session says another size than Spark's own.
+
+    Rows here are whole texts and sets: a batch of Spark's 64 MB is in the JVM's buffers, in the worker's and in its arrays at once.
+    """
+    name, usual = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if spark.conf.get(name) == f"{usual}b":
+        spark.conf.set(name, f"{16 << 20}b")
+
+
 def tidy(run):
     """``run`` over Arrow batches, giving freed memory back at its end: Python workers live on for later stages."""
 

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import checkpointed, few_files, looked_up, merge, removed, rewritten, swept, tidy
+from emberscope.llm.common import checkpointed, few_files, looked_up, merge, removed, rewritten, small_batches, swept, tidy
 from emberscope.llm.components import components
 
 #: Similar: 100 * intersection >= PERCENT * union.
@@ -552,6 +552,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = WORDS, percent: int = PERCENT):
         self.words, self.percent, self.keep, self.spark = words, percent, keep, docs.sparkSession
+        small_batches(self.spark)
         # _h finds a row's text again: of equal rows any one will do.
         self.docs = docs.select(docs["doc_id"].alias("_id"), docs[text].alias("_text"), F.xxhash64(docs["doc_id"], docs[text]).alias("_h"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
         hot = self.spark.sparkContext.broadcast(frequent(docs, text, words))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import tidy
+from emberscope.llm.common import small_batches, tidy
 
 
 SAMPLE, BITS, GRAMS, EPOCHS = 1000, 15, (1, 2, 3), 4
@@ -182,6 +182,7 @@ def predictor(parts):
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, lang_pred and score of every row."""
+    small_batches(docs.sparkSession)
     names = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], docs[text].alias("_text"))
     kinds = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
